@@ -20,11 +20,13 @@ _DIRECTIVE = (
 )
 _LINE_COMMENT = r"//(?:[^\n\\]++|\\\r?\n|\\)*+"
 _CHAR = r"'(?:[^'\\\n]++|\\[^\n])*+'"
+# A run of code without literals, comments and directives, over as many lines as it goes.
 _PLAIN = (
-    r"(?:(?!(?:u8|[uUL])?R\")[A-Za-z_]\w*+|[0-9](?:'?[\w.])*+|[^\w\n\"'/]|/(?![/*]))++"
+    r"(?:[A-KM-QSTV-Za-tv-z_]\w*+|(?!(?:u8|[uUL])?R\")[LRUu]\w*+|[^\w\n\"'/]++|"
+    r"\n(?![ \t]*+#)|[0-9](?:'?[\w.])*+|/(?![/*]))++"
 )
 _LEXEME = "|".join(
-    (_RAW, _DIRECTIVE, _LINE_COMMENT, _BLOCK, _STRING, _CHAR, _PLAIN, r"\n[ \t]*+(?!#)|(?s:.)")
+    (_DIRECTIVE, _PLAIN, _STRING, _LINE_COMMENT, _BLOCK, _CHAR, _RAW, r"(?s:.)")
 )
 
 # Literals keep their text in a private-use area, out of reach of the patterns below.
@@ -74,6 +76,10 @@ _STATEMENT = r"(?s)\b(?:return|else|case|new|throw|goto|do|typedef|using|namespa
 _TEMPLATE = rf"(?:template\s*+{_ANGLE}|requires\s*+{_PAREN}|friend\b|extern\s*+[^\w\s]*+?)"
 _LEAD = rf"(?s)\A(?:\s|{MARK}|{_TEMPLATE})*+"
 
+# Where a mark goes: after a segment end, before a class keyword.
+_PLACES = (
+    r"([{};]|\b(?:public|protected|private)\b(?:[ \t]++\w++)?[ \t]*+:(?!:))|(?=\b(?:class|struct)\b)"
+)
 _CLASS_HEAD = (
     rf"(?s)({MARK})(class|struct)\b((?:\s|{MARK}|{_ATTR}|{_WORD}(?=\s++[A-Za-z_])(?!\s++final\s*+(?:[:{{]|\z)))*+)"
     rf"({_WORD}(?:\s*+::\s*+{_WORD})*+(?:\s*+{_ANGLE})?+)?+((?:\s|{MARK})*+(?:final\b)?(?:\s|{MARK})*+"
@@ -158,36 +164,38 @@ def shown(text: Column) -> Column:
 
 
 def segments(text: Column) -> Column:
-    """Segments ending at a brace, a semicolon or an access label, and the rest."""
-    lines = F.split(neutral_text(text), "\n")
+    """Segments ending at a brace, a semicolon or an access label, and the rest.
+
+    Every segment starts with a line mark; others stand at line starts and before
+    class keywords.
+    """
+    neutral = neutral_text(text)
+    neutral = F.regexp_replace(neutral, r"\b(enum|friend)[ \t]++(?:class|struct)\b", "$1")
 
     def mark_line(line, i):
         mark = F.concat(F.lit(_M0), (i + 1).cast("string"), F.lit(_M1))
-        cut = F.regexp_replace(
-            line,
-            r"([{};]|\b(?:public|protected|private)\b(?:\s++\w++)?\s*+:(?!:))",
-            F.concat(F.lit("$1" + _CUT), mark),
-        )
-        return F.concat(
-            mark,
-            F.regexp_replace(
-                F.regexp_replace(cut, r"\b(enum|friend)\s++(?:class|struct)\b", "$1"),
-                r"\b(class|struct)\b",
-                F.concat(mark, F.lit("$1")),
-            ),
-        )
+        return F.concat(mark, F.regexp_replace(line, _PLACES, F.concat(F.lit("$1"), mark)))
 
-    return F.split(F.array_join(F.transform(lines, mark_line), "\n"), _CUT)
+    return F.split(
+        F.array_join(F.transform(F.split(neutral, "\n"), mark_line), "\n"), r"(?<=[{};:])(?=\x01)"
+    )
 
 
 # Segments that matter for symbols: scopes, labels, named class heads without a body,
 # defaulted and deleted functions, and the last one, which tells where the file ends.
 def segment_matters(segment: Column, pos: Column, last: Column) -> Column:
-    return (pos == last) | segment.rlike(
-        r"(?s)[{}:]\z|\x02(?:class|struct)\b|=\s*+(?:default|delete)\s*+;\z"
+    return (
+        (pos == last)
+        | F.right(segment, F.lit(1)).isin("{", "}", ":")
+        | has_class_word(segment)
+        | segment.rlike(r"=\s*+(?:default|delete)\s*+;\z")
     )
 
 
+def has_class_word(segment: Column) -> Column:
+    return segment.contains(_M1 + "class") | segment.contains(_M1 + "struct")
+
+
 def last_line(segment: Column) -> Column:
     return F.regexp_extract(segment, r"(?s)\A.*\x01(\d+)\x02", 1).try_cast("int")
 
@@ -201,12 +209,13 @@ def last_code_line(segment: Column) -> Column:
 
 
 def delimiter(segment: Column) -> Column:
-    return F.when(segment.rlike(r"[{};:]\z"), F.right(segment, F.lit(1))).otherwise(F.lit(""))
+    end = F.right(segment, F.lit(1))
+    return F.when(end.isin("{", "}", ";", ":"), end).otherwise(F.lit(""))
 
 
-def header(segment: Column) -> Column:
+def header(segment: Column, delim: Column) -> Column:
     """Segment without its delimiter, still with line marks."""
-    return F.regexp_replace(segment, r"[{};:]\z", "")
+    return F.substring(segment, F.lit(1), F.length(segment) - F.length(delim))
 
 
 def first_code_line(segment: Column) -> Column:
@@ -220,45 +229,39 @@ def access_label(segment: Column) -> Column:
     )
 
 
-def _plain(head: Column) -> Column:
+def plain_header(head: Column) -> Column:
+    """Header without template heads and the like, and without line marks."""
     return F.regexp_replace(F.regexp_replace(head, _LEAD, ""), MARK, "")
 
 
-def scope_kind(head: Column) -> Column:
-    """class, struct, union, namespace, unnamed_namespace, linkage, function or other."""
-    plain = _plain(head)
-    return (
-        F.when(
-            plain.rlike(r"\A\s*+(?:inline\s++)?namespace\b(?:\s|\[\[[^\]]*+\]\])*+\z"),
-            F.lit("unnamed_namespace"),
-        )
-        .when(plain.rlike(r"\A\s*+(?:inline\s++)?namespace\b[^(){};=]*+\z"), F.lit("namespace"))
-        .when(head.rlike(r"(?s)\A(?:\s|\x01\d+\x02)*+extern\s*+[^\w\s]*+(?:\s|\x01\d+\x02)*+\z"), F.lit("linkage"))
-        .when(class_head(head, 2) != "", class_head(head, 2))
-        .when(plain.rlike(r"(?s)(?:\A|[\s;])union\b[^(){};=]*+\z"), F.lit("union"))
-        .when(
-            ~plain.rlike(_STATEMENT) & plain.rlike(_FUNCTION), F.lit("function")
-        )
-        .otherwise(F.lit("other"))
-    )
+def class_match(head: Column) -> Column:
+    """The part of an opening header that is a class head, or ''."""
+    return F.regexp_extract(_without_templates(head), _CLASS_HEAD, 0)
 
 
-def class_head(head: Column, group: int) -> Column:
-    """Group 1 line mark, 2 keyword, 4 name of the class whose body follows."""
-    return F.regexp_extract(F.regexp_replace(head, rf"(?s)template\s*+{_ANGLE}", " "), _CLASS_HEAD, group)
+def _without_templates(head: Column) -> Column:
+    return F.when(
+        head.contains("template"), F.regexp_replace(head, rf"(?s)template\s*+{_ANGLE}", " ")
+    ).otherwise(head)
+
+
+def class_keyword(match: Column) -> Column:
+    return F.regexp_extract(match, r"\A\x01\d+\x02(class|struct)\b", 1)
 
 
-def class_name(head: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(class_head(head, 4), MARK, ""), r"\A\s++|\s++\z", "")
+def class_name(match: Column) -> Column:
+    return F.regexp_replace(
+        F.regexp_replace(F.regexp_extract(match, _CLASS_HEAD, 4), MARK, ""), r"\A\s++|\s++\z", ""
+    )
 
 
-def class_line(head: Column) -> Column:
-    return F.regexp_extract(class_head(head, 1), r"\d+", 0).try_cast("int")
+def class_line(match: Column) -> Column:
+    return F.regexp_extract(match, r"\d+", 0).try_cast("int")
 
 
 def class_mentions(head: Column, opens_scope: Column) -> Column:
     """Named class specifiers without a body, as (kind, name, line_start, line_end)."""
-    bare = F.regexp_replace(head, rf"(?s)template\s*+{_ANGLE}", " ")
+    bare = _without_templates(head)
     rest = F.when(opens_scope, F.regexp_replace(bare, _CLASS_HEAD, "")).otherwise(bare)
     return F.transform(
         F.regexp_extract_all(rest, F.lit(_MENTION), F.lit(0)),
@@ -279,42 +282,64 @@ def class_mentions(head: Column, opens_scope: Column) -> Column:
     )
 
 
-def is_bodyless_function(head: Column) -> Column:
-    """``= default`` and ``= delete`` members count as definitions."""
-    return head.rlike(r"(?s)=\s*+(?:default|delete)\s*+\z") & _defaulted(head).rlike(_FUNCTION)
+def function_parts(plain: Column) -> Column:
+    """[prefix, pointer, name, rest] of a function header, or an array of another size.
 
+    ``= default`` and ``= delete`` are cut off first: such members count as definitions.
+    """
+    cut = F.when(
+        plain.contains("="), F.regexp_replace(plain, r"(?s)=\s*+(?:default|delete)\s*+\z", "")
+    ).otherwise(plain)
+    parsed = F.split(F.regexp_replace(cut, _FUNCTION, "$1\x04$2\x04$3\x04$4"), "\x04")
+    return F.when(plain.contains("(") & ~cut.rlike(_STATEMENT), parsed)
 
-def _defaulted(head: Column) -> Column:
-    return F.regexp_replace(_plain(head), r"(?s)=\s*+(?:default|delete)\s*+\z", "")
 
+def ends_bodyless(plain: Column) -> Column:
+    return plain.rlike(r"(?s)=\s*+(?:default|delete)\s*+\z")
 
-def function_fields(head: Column) -> tuple[Column, Column, Column, Column]:
-    """(name, signature, is_static, is_plain_member) of a function header.
 
-    A member behind a template head or ``friend`` is not a plain member.
-    """
-    plain = _defaulted(head)
+def block_kind(plain: Column, head: Column) -> Column:
+    """unnamed_namespace, namespace, linkage, union, or null."""
+    return F.when(
+        plain.contains("namespace"),
+        F.when(
+            plain.rlike(r"\A\s*+(?:inline\s++)?namespace\b(?:\s|\[\[[^\]]*+\]\])*+\z"),
+            F.lit("unnamed_namespace"),
+        ).when(
+            plain.rlike(r"\A\s*+(?:inline\s++)?namespace\b[^(){};=]*+\z"), F.lit("namespace")
+        ),
+    ).when(
+        head.contains("extern")
+        & head.rlike(r"(?s)\A(?:\s|\x01\d+\x02)*+extern\s*+[^\w\s]*+(?:\s|\x01\d+\x02)*+\z"),
+        F.lit("linkage"),
+    ).when(
+        plain.contains("union") & plain.rlike(r"(?s)(?:\A|[\s;])union\b[^(){};=]*+\z"),
+        F.lit("union"),
+    )
 
-    def group(i):
-        return F.regexp_extract(plain, _FUNCTION, i)
 
-    prefix = F.regexp_replace(group(1), _ATTR, " ")
-    full_name = F.regexp_replace(group(3), r"\A\s++|\s++\z", "")
-    qualified = full_name.rlike(r"::")
+def function_fields(parts: Column) -> tuple[Column, Column, Column]:
+    """(name, signature, is_static) from ``function_parts``."""
+    prefix = F.when(
+        parts[0].rlike(r"[\[(]"), F.regexp_replace(parts[0], _ATTR, " ")
+    ).otherwise(parts[0])
+    full_name = _trim(parts[2])
+    qualified = full_name.contains("::")
     inner = F.when(
         qualified,
         F.regexp_extract(full_name, rf"(?s)\A(?:{_WORD}(?:{_ANGLE})?+)?\s*+::\s*+(.*)\z", 1),
-    ).otherwise(F.regexp_replace(F.regexp_replace(full_name, r"\A~\s*+", ""), rf"{_ANGLE}\z", ""))
+    ).otherwise(F.regexp_replace(full_name, rf"\A~\s*+|{_ANGLE}\z", ""))
     name = F.when(qualified | ~full_name.rlike(r"\Aoperator\b(?!\w)"), shown(inner))
-    result_type = F.regexp_replace(F.regexp_replace(prefix, _SPECIFIERS, ""), r"\A\s++|\s++\z", "")
-    declarator = F.regexp_replace(
-        F.concat(group(2), group(3), group(4)), r"\A\s++|\s++\z", ""
-    )
-    signature = shown(
-        F.concat_ws(" ", F.when(result_type != "", result_type), declarator)
-    )
-    is_static = prefix.rlike(r"\bstatic\b")
-    plain_member = ~head.rlike(rf"(?s)\A(?:\s|{MARK})*+(?:template|friend|requires)\b")
-    return name, signature, is_static, plain_member
+    result_type = _trim(F.regexp_replace(prefix, _SPECIFIERS, ""))
+    declarator = _trim(F.concat(parts[1], parts[2], parts[3]))
+    signature = shown(F.concat_ws(" ", F.when(result_type != "", result_type), declarator))
+    return name, signature, prefix.rlike(r"\bstatic\b")
+
+
+def is_plain_member(head: Column) -> Column:
+    """False behind a template head, ``requires`` or ``friend``."""
+    return ~head.rlike(rf"(?s)\A(?:\s|{MARK})*+(?:template|friend|requires)\b")
 
 
+def _trim(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))

@@ -66,42 +66,66 @@ def file_segments(files: DataFrame) -> DataFrame:
         (F.size("segments") - 1).alias("last"),
         F.posexplode("segments").alias("pos", "segment"),
     ).where(C.segment_matters(F.col("segment"), F.col("pos"), F.col("last")))
+    segment = F.col("segment")
+    is_last = F.col("pos") == F.col("last")
     rows = rows.select(
         *_FILE,
         "pos",
-        (F.col("pos") == F.col("last")).alias("is_last"),
-        C.delimiter(F.col("segment")).alias("delim"),
-        C.header(F.col("segment")).alias("head"),
-        C.first_code_line(F.col("segment")).alias("line_first"),
-        F.when(F.col("pos") == F.col("last"), C.last_code_line(F.col("segment")))
-        .otherwise(C.last_line(F.col("segment")))
-        .alias("line_last"),
-        C.access_label(F.col("segment")).alias("label"),
-    )
-    head, opens = F.col("head"), F.col("delim") == "{"
-    rows = rows.withColumn(
-        "kind",
-        F.when(opens, C.scope_kind(head)).when(
-            (F.col("delim") == ";") & C.is_bodyless_function(head), F.lit("bodyless")
+        is_last.alias("is_last"),
+        C.delimiter(segment).alias("delim"),
+        C.header(segment, C.delimiter(segment)).alias("head"),
+        F.when(F.right(segment, F.lit(1)).isin("{", ";"), C.first_code_line(segment)).alias(
+            "line_first"
+        ),
+        F.when(is_last, C.last_code_line(segment)).otherwise(C.last_line(segment)).alias(
+            "line_last"
         ),
+        F.when(F.right(segment, F.lit(1)) == ":", C.access_label(segment)).alias("label"),
+    )
+    # Costly patterns run once each, and only on headers that can match.
+    head, delim = F.col("head"), F.col("delim")
+    opens, class_word = delim == "{", C.has_class_word(F.col("head"))
+    rows = rows.withColumns(
+        {
+            "plain": F.when(delim.isin("{", ";"), C.plain_header(head)),
+            "class_match": F.when(opens & class_word, C.class_match(head)),
+        }
+    )
+    plain = F.col("plain")
+    is_class = F.coalesce(F.col("class_match") != "", F.lit(False))
+    bodyless = (delim == ";") & C.ends_bodyless(plain)
+    rows = rows.withColumns(
+        {
+            "block": F.when(opens & ~is_class, C.block_kind(plain, head)),
+            "parts": F.when((opens & ~is_class) | bodyless, C.function_parts(plain)),
+        }
+    )
+    parts = F.col("parts")
+    is_function = F.coalesce(F.size(parts) == 4, F.lit(False))
+    name, signature, is_static = C.function_fields(parts)
+    none = F.array().cast(
+        "array<struct<kind:string,name:string,line_start:int,line_end:int>>"
     )
-    is_class = F.col("kind").isin(*_CLASSES)
-    is_function = F.col("kind").isin("function", "bodyless")
-    name, signature, is_static, plain_member = C.function_fields(head)
     return rows.select(
         *_FILE,
         "pos",
         "is_last",
         "delim",
-        "kind",
+        F.when(is_class, C.class_keyword(F.col("class_match")))
+        .when(F.col("block").isNotNull(), F.col("block"))
+        .when(is_function, F.when(opens, F.lit("function")).otherwise(F.lit("bodyless")))
+        .when(opens, F.lit("other"))
+        .alias("kind"),
         F.when(F.col("label") != "", F.col("label")).alias("label"),
-        F.when(is_class, C.class_name(head)).when(is_function, name).alias("name"),
+        F.when(is_class, C.class_name(F.col("class_match"))).when(is_function, name).alias("name"),
         F.when(is_function, signature).alias("signature"),
         F.when(is_function, is_static).alias("is_static"),
-        F.when(is_function, plain_member).alias("plain_member"),
-        F.when(is_class, C.class_line(head)).otherwise(F.col("line_first")).alias("line_start"),
+        F.when(is_function, C.is_plain_member(head)).alias("plain_member"),
+        F.when(is_class, C.class_line(F.col("class_match")))
+        .otherwise(F.col("line_first"))
+        .alias("line_start"),
         "line_last",
-        C.class_mentions(head, opens).alias("mentions"),
+        F.when(class_word, C.class_mentions(head, opens)).otherwise(none).alias("mentions"),
     )
 
 
