@@ -24,7 +24,7 @@ from repoatlas.operators.summarize import summarize
 from repoatlas.plans import update
 from repoatlas.settings import DEFAULT_EXCLUDE, JobOptions
 from repoatlas.sources import corpora, docs, rules, state_store
-from repoatlas.sources.workspace import new_dir
+from repoatlas.sources.workspace import new_dir, stored
 from repoatlas.streaming.feed import CHANGES, run_feed
 
 STAR = JobOptions(include=corpora.STAR_INCLUDE, exclude=DEFAULT_EXCLUDE, depth=corpora.STAR_DEPTH)
@@ -91,6 +91,11 @@ def _star_methods(spark, sf_dir) -> DataFrame:
     return symbols.methods_of(_star_scopes(spark, sf_dir))
 
 
+def _saved_star_docs(spark, sf_dir) -> DataFrame:
+    """The written documents, which overviews read."""
+    return stored(spark, ("docs", sf_dir), lambda: _star_docs(spark, sf_dir))
+
+
 def _star_docs(spark, sf_dir, options=STAR_FULL) -> DataFrame:
     run = _star_run(spark, sf_dir, options)
     prompts = update.prompts(run, options)
@@ -157,13 +162,13 @@ def module_docs_write(spark, sf_dir):
 
 def module_docs_read(spark, sf_dir):
     folder = new_dir(spark, "text")
-    docs.export_text(_star_docs(spark, sf_dir), folder)
+    docs.export_text(_saved_star_docs(spark, sf_dir), folder)
     return docs.read_exported(spark, folder)
 
 
 def overview_write(spark, sf_dir):
     folder = new_dir(spark, "overviews")
-    docs.write_overviews(documents.overviews(_star_docs(spark, sf_dir), _run_ts()), folder)
+    docs.write_overviews(documents.overviews(_saved_star_docs(spark, sf_dir), _run_ts()), folder)
     return docs.read_overviews(spark, folder)
 
 
@@ -589,7 +594,7 @@ def internal_summary(spark, sf_dir):
 
 
 def overview_categories(spark, sf_dir):
-    found = documents.overview_categories(_star_docs(spark, sf_dir))
+    found = documents.overview_categories(_saved_star_docs(spark, sf_dir))
     return found.select("repo", "category", "part", _joined("items").alias("names"))
 
 
@@ -649,12 +654,12 @@ def related_sorted(spark, sf_dir):
 
 
 def docs_sorted(spark, sf_dir):
-    return _star_docs(spark, sf_dir).select("repo", "doc_file").orderBy("repo", "doc_file")
+    return _saved_star_docs(spark, sf_dir).select("repo", "doc_file").orderBy("repo", "doc_file")
 
 
 def categories_sorted(spark, sf_dir):
     return (
-        documents.overview_lines(_star_docs(spark, sf_dir))
+        documents.overview_lines(_saved_star_docs(spark, sf_dir))
         .where(F.col("line").startswith("### "))
         .select("repo", "category", "line")
         .orderBy("repo", "category")
@@ -797,7 +802,7 @@ def module_docs_incremental(spark, sf_dir):
 
 
 def overview(spark, sf_dir):
-    return documents.overviews(_star_docs(spark, sf_dir), _run_ts())
+    return documents.overviews(_saved_star_docs(spark, sf_dir), _run_ts())
 
 
 # --- surfaces ----------------------------------------------------------------------

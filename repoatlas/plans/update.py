@@ -24,7 +24,7 @@ from repoatlas.sources.workspace import materialize
 
 @dataclass(frozen=True)
 class Run:
-    """The tables of a run, all lazy."""
+    """The tables of a run."""
 
     current: DataFrame  # selected files: repo, path, file_hash, module, module_path
     run_files: DataFrame  # those this run works on
@@ -50,7 +50,8 @@ def prepare(
         run_files = current
     else:
         changed = changes.changed_files(current, state_files)
-        run_files = state.files_of_scope(current, changed, options.scope)
+        # The narrow list of changed files steers every later stage: computed once.
+        run_files = materialize(state.files_of_scope(current, changed, options.scope))
     known = selected.where(default_registry().language(F.col("path")) == "cpp")
     sources = (
         known
@@ -107,20 +108,9 @@ def update(
     saved_files = state_store.load_files(spark, base)
     saved_modules = state_store.load_modules(spark, base)
     run = prepare(files, saved_files, options, rules)
-    # The narrow list of changed files steers every later stage: computed once.
-    run_files = materialize(run.run_files)
+    run_files = run.run_files
     if run_files.isEmpty():
         return False
-    run = Run(
-        run.current,
-        run_files,
-        run.sources
-        if options.mode == "full"
-        else select_files(files, options, rules)
-        .where(default_registry().language(F.col("path")) == "cpp")
-        .join(run_files.select("repo", "path"), ["repo", "path"], "left_semi"),
-        graph.file_module_map(run_files, saved_files),
-    )
     documents_new = new_docs(run, options, completions, run_ts)
     saved_docs = load_docs(spark, base, run_files)
     all_docs = (

@@ -8,8 +8,10 @@ known from the keys. Prior snapshots are derived the same way.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoatlas.functions import paths, text
+from repoatlas.functions import globs, paths, text
 from repoatlas.operators import changes, modules
+from repoatlas.settings import DEFAULT_EXCLUDE
+from repoatlas.sources.workspace import stored
 
 # Rules and depth of the rendered C++ corpus.
 STAR_INCLUDE = ("**/*.cpp", "**/*.h")
@@ -251,6 +253,10 @@ def _order_files(spark: SparkSession, sf_dir: str, day: str | None) -> DataFrame
 
 def star_corpus(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """C++ sources rendered from the star schema, all of it or as it was on a day."""
+    return stored(spark, ("star", sf_dir, day), lambda: _render_star(spark, sf_dir, day))
+
+
+def _render_star(spark: SparkSession, sf_dir: str, day: str | None) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     supplier = table(spark, sf_dir, "supplier")
     part = table(spark, sf_dir, "part")
@@ -313,9 +319,10 @@ def star_completions(prompts: DataFrame) -> DataFrame:
 
 def star_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved files of the C++ corpus: its snapshot, plus headers that are gone now."""
-    from repoatlas.functions import globs
-    from repoatlas.settings import DEFAULT_EXCLUDE
+    return stored(spark, ("star_state", sf_dir), lambda: _star_state(spark, sf_dir))
+
 
+def _star_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = star_corpus(spark, sf_dir, SNAPSHOT_DAY).where(
         globs.selected(F.col("path"), STAR_INCLUDE, DEFAULT_EXCLUDE)
     )

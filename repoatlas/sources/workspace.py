@@ -31,3 +31,23 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder."""
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_TABLES: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A derived table, written to the shared folder on first use in an application.
+
+    Later readers scan Parquet: column pruning and pushed filters instead of a recompute.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _TABLES:
+        path = new_dir(spark, "table")
+        tasks = max(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            spark.sparkContext.defaultParallelism,
+        )
+        build().repartition(tasks).write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
