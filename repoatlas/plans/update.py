@@ -69,7 +69,8 @@ def run_imports(run: Run, options: JobOptions) -> DataFrame:
 
 
 def module_edges(run: Run, options: JobOptions) -> DataFrame:
-    return graph.module_edges(run_imports(run, options), run.file_map)
+    """Edges between modules: few rows, read several times, so computed once."""
+    return materialize(graph.module_edges(run_imports(run, options), run.file_map))
 
 
 def prompts(run: Run, options: JobOptions) -> DataFrame:
