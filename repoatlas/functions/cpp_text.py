@@ -182,11 +182,10 @@ def segments(text: Column) -> Column:
 
 
 # Segments that matter for symbols: scopes, labels, named class heads without a body,
-# defaulted and deleted functions, and the last one, which tells where the file ends.
-def segment_matters(segment: Column, pos: Column, last: Column) -> Column:
+# and defaulted and deleted functions.
+def segment_matters(segment: Column) -> Column:
     return (
-        (pos == last)
-        | F.right(segment, F.lit(1)).isin("{", "}", ":")
+        F.right(segment, F.lit(1)).isin("{", "}", ":")
         | has_class_word(segment)
         | segment.rlike(r"=\s*+(?:default|delete)\s*+;\z")
     )

@@ -63,23 +63,22 @@ def file_segments(files: DataFrame) -> DataFrame:
     )
     rows = cut.select(
         *_FILE,
-        (F.size("segments") - 1).alias("last"),
+        F.size("segments").alias("end_pos"),
+        C.last_code_line(F.element_at("segments", -1)).alias("end_line"),
         F.posexplode("segments").alias("pos", "segment"),
-    ).where(C.segment_matters(F.col("segment"), F.col("pos"), F.col("last")))
+    ).where(C.segment_matters(F.col("segment")))
     segment = F.col("segment")
-    is_last = F.col("pos") == F.col("last")
     rows = rows.select(
         *_FILE,
         "pos",
-        is_last.alias("is_last"),
+        "end_pos",
+        "end_line",
         C.delimiter(segment).alias("delim"),
         C.header(segment, C.delimiter(segment)).alias("head"),
         F.when(F.right(segment, F.lit(1)).isin("{", ";"), C.first_code_line(segment)).alias(
             "line_first"
         ),
-        F.when(is_last, C.last_code_line(segment)).otherwise(C.last_line(segment)).alias(
-            "line_last"
-        ),
+        C.last_line(segment).alias("line_last"),
         F.when(F.right(segment, F.lit(1)) == ":", C.access_label(segment)).alias("label"),
     )
     # Costly patterns run once each, and only on headers that can match.
@@ -109,7 +108,8 @@ def file_segments(files: DataFrame) -> DataFrame:
     return rows.select(
         *_FILE,
         "pos",
-        "is_last",
+        "end_pos",
+        "end_line",
         "delim",
         F.when(is_class, C.class_keyword(F.col("class_match")))
         .when(F.col("block").isNotNull(), F.col("block"))
@@ -141,79 +141,81 @@ def _with_levels(segments: DataFrame) -> DataFrame:
 
 
 def _with_scopes(files: DataFrame) -> DataFrame:
-    """Segments with paired braces and the kind of the scope they sit in.
+    """Segments with paired braces and, for functions, the kind of the scope around.
 
     An opening brace gets its closing position and line; one that is never closed ends
-    with the file. ``parent_kind`` is the kind of the scope one level up.
+    with the file.
     """
     rows = _with_levels(file_segments(files))
     # Opens and closes alternate within one level, so the partner is the next row.
-    brace = F.col("delim").isin("{", "}")
+    opens = F.col("delim") == "{"
     pair = _in_file("is_brace", "level")
-    end = F.max(F.when(F.col("is_last"), F.struct("pos", "line_last"))).over(
-        W.partitionBy(*_FILE)
-    )
     rows = (
-        rows.withColumn("end", end)
-        .withColumn("is_brace", brace)
+        rows.withColumn("is_brace", F.col("delim").isin("{", "}"))
         .withColumn("next", F.lead(F.struct("delim", "pos", "line_last")).over(pair))
-        .withColumn("prior", F.lag(F.struct("delim", "kind", "name")).over(pair))
+        .withColumn("prior", F.lag(F.struct("delim", "kind")).over(pair))
     )
     closed = F.col("next.delim") == "}"
     rows = rows.withColumns(
         {
             "close_pos": F.when(
-                F.col("delim") == "{",
-                F.when(closed, F.col("next.pos")).otherwise(F.col("end.pos") + 1),
+                opens, F.when(closed, F.col("next.pos")).otherwise(F.col("end_pos"))
             ),
             "line_end": F.when(
-                F.col("delim") == "{",
-                F.when(closed, F.col("next.line_last")).otherwise(F.col("end.line_last")),
+                opens, F.when(closed, F.col("next.line_last")).otherwise(F.col("end_line"))
             ).otherwise(F.col("line_last")),
             "closes": F.when(
                 (F.col("delim") == "}") & (F.col("prior.delim") == "{"), F.col("prior.kind")
             ),
         }
-    ).drop("next", "prior", "end", "is_brace")
-    # Parent: the last scope opened one level up. Every row is shown twice, once as a
-    # possible parent at its own level, once as a child one level up.
+    ).drop("next", "prior", "end_pos", "end_line", "is_brace", "line_last", "depth")
+    # Parent: the last scope opened one level up. A function is looked up from there
+    # (role 1) and stays at its own level only as a possible parent (role 0).
     both = rows.withColumn(
         "role",
         F.explode(
-            F.when(F.col("delim") == "{", F.array(F.lit(0), F.lit(1))).otherwise(
-                F.array(F.lit(1))
-            )
+            F.when(F.col("kind") == "function", F.array(F.lit(0), F.lit(1)))
+            .when(F.col("kind") == "bodyless", F.array(F.lit(1)))
+            .otherwise(F.array(F.lit(0)))
         ),
     ).withColumn("seat", F.col("level") - F.col("role"))
-    as_parent = F.when(F.col("role") == 0, F.struct("pos", "close_pos", "kind"))
+    as_parent = F.when((F.col("role") == 0) & opens, F.struct("close_pos", "kind"))
     parent = F.last(as_parent, ignorenulls=True).over(
         _in_file("seat").rowsBetween(W.unboundedPreceding, -1)
     )
     return (
         both.withColumn("parent", parent)
-        .where(F.col("role") == 1)
+        .where((F.col("role") == 1) | ~F.coalesce(_is_function(), F.lit(False)))
         .withColumn(
             "parent_kind",
-            F.when(F.col("parent.close_pos") >= F.col("pos"), F.col("parent.kind")),
+            F.when(
+                (F.col("role") == 1) & (F.col("parent.close_pos") >= F.col("pos")),
+                F.col("parent.kind"),
+            ),
         )
         .drop("role", "seat", "parent")
     )
 
 
 def scopes(files: DataFrame) -> DataFrame:
-    """Segments with scopes, and what encloses them.
+    """The rows that symbols are made of, and what encloses them.
 
     ``class_depth`` counts the open classes, named or not; ``in_unnamed_ns`` tells an
-    unnamed namespace on the way up.
+    unnamed namespace on the way up. Plain blocks and their ends are gone.
     """
     rows = _with_scopes(files)
     # A function cannot open directly inside a function or a plain block.
-    real = F.col("parent_kind").isNull() | ~F.col("parent_kind").isin("function", "other")
+    nested = F.coalesce(F.col("parent_kind").isin("function", "other"), F.lit(False))
     rows = rows.withColumn(
-        "kind",
-        F.when(F.col("kind").isin("function", "bodyless") & ~real, F.lit("other")).otherwise(
-            F.col("kind")
-        ),
+        "kind", F.when(~(_is_function() & nested), F.col("kind"))
+        .when(F.col("kind").isNotNull(), F.lit("other"))
+    )
+    hidden = ("unnamed_namespace",)
+    rows = rows.where(
+        F.col("kind").isin(*_CLASSES, *hidden, "function", "bodyless")
+        | F.col("closes").isin(*_CLASSES, *hidden)
+        | F.col("label").isNotNull()
+        | (F.size("mentions") > 0)
     )
     before = _in_file().rowsBetween(W.unboundedPreceding, -1)
 
@@ -228,7 +230,7 @@ def scopes(files: DataFrame) -> DataFrame:
         )
 
     return rows.withColumn("class_depth", open_now(_CLASSES)).withColumn(
-        "in_unnamed_ns", open_now(("unnamed_namespace",)) > 0
+        "in_unnamed_ns", open_now(hidden) > 0
     )
 
 

@@ -24,7 +24,7 @@ from repoatlas.operators.summarize import summarize
 from repoatlas.plans import update
 from repoatlas.settings import DEFAULT_EXCLUDE, JobOptions
 from repoatlas.sources import corpora, docs, rules, state_store
-from repoatlas.sources.workspace import new_dir, stored
+from repoatlas.sources.workspace import materialize, new_dir, stored
 from repoatlas.streaming.feed import CHANGES, run_feed
 
 STAR = JobOptions(include=corpora.STAR_INCLUDE, exclude=DEFAULT_EXCLUDE, depth=corpora.STAR_DEPTH)
@@ -98,8 +98,9 @@ def _saved_star_docs(spark, sf_dir) -> DataFrame:
 
 def _star_docs(spark, sf_dir, options=STAR_FULL) -> DataFrame:
     run = _star_run(spark, sf_dir, options)
-    prompts = update.prompts(run, options)
-    return update.new_docs(run, options, corpora.star_completions(prompts), _run_ts())
+    # Written first: the stored answers below are derived from the prompts themselves.
+    prompts = materialize(update.prompts(run, options))
+    return update.new_docs(run, options, prompts, corpora.star_completions(prompts), _run_ts())
 
 
 def _prose_hashed(spark, sf_dir) -> DataFrame:

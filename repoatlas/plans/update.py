@@ -79,11 +79,17 @@ def prompts(run: Run, options: JobOptions) -> DataFrame:
     )
 
 
-def new_docs(run: Run, options: JobOptions, completions: DataFrame, run_ts: Column) -> DataFrame:
+def new_docs(
+    run: Run,
+    options: JobOptions,
+    prompt_table: DataFrame,
+    completions: DataFrame,
+    run_ts: Column,
+) -> DataFrame:
     """Documents of the run's modules."""
     edges = module_edges(run, options)
     return documents.module_docs(
-        prompts(run, options),
+        prompt_table,
         completions,
         modules.combined_hashes(run.run_files, options.part_rows),
         documents.related_sections(edges, run.modules, options.part_rows),
@@ -112,7 +118,7 @@ def update(
     run_files = run.run_files
     if run_files.isEmpty():
         return False
-    documents_new = new_docs(run, options, completions, run_ts)
+    documents_new = new_docs(run, options, prompts(run, options), completions, run_ts)
     saved_docs = load_docs(spark, base, run_files)
     all_docs = (
         documents_new if saved_docs is None else documents.merge_docs(saved_docs, documents_new)
