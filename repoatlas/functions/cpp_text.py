@@ -78,7 +78,8 @@ _LEAD = rf"(?s)\A(?:\s|{MARK}|{_TEMPLATE})*+"
 
 # Where a mark goes: after a segment end, before a class keyword.
 _PLACES = (
-    r"([{};]|\b(?:public|protected|private)\b(?:[ \t]++\w++)?[ \t]*+:(?!:))|(?=\b(?:class|struct)\b)"
+    r"([{};]|(?=p[ur])(?<!\w)(?:public|protected|private)\b(?:[ \t]++\w++)?[ \t]*+:(?!:))"
+    r"|(?=class\b|struct\b)(?<!\w)"
 )
 _CLASS_HEAD = (
     rf"(?s)({MARK})(class|struct)\b((?:\s|{MARK}|{_ATTR}|{_WORD}(?=\s++[A-Za-z_])(?!\s++final\s*+(?:[:{{]|\z)))*+)"
@@ -170,7 +171,7 @@ def segments(text: Column) -> Column:
     class keywords.
     """
     neutral = neutral_text(text)
-    neutral = F.regexp_replace(neutral, r"\b(enum|friend)[ \t]++(?:class|struct)\b", "$1")
+    neutral = F.regexp_replace(neutral, r"(enum|friend)[ \t]++(?:class|struct)\b", "$1")
 
     def mark_line(line, i):
         mark = F.concat(F.lit(_M0), (i + 1).cast("string"), F.lit(_M1))
