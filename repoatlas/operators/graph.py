@@ -79,8 +79,15 @@ def module_edges(imports: DataFrame, file_map: DataFrame) -> DataFrame:
     (module, candidate paths) before any join, so the joins see each popular header once
     per module.
     """
+    # Files of one folder that include the same name mean the same file.
+    folder = paths.parent_dir(F.col("path"))
+    per_folder = (
+        imports.where(~F.col("is_system"))
+        .select("repo", "module", F.concat_ws("/", folder, F.lit("_")).alias("path"), "name")
+        .distinct()
+    )
     wanted = (
-        candidates(imports.where(~F.col("is_system")))
+        candidates(per_folder)
         .select("repo", "module", "exact", "relative")
         .distinct()
         .withColumn("path", F.col("exact"))
