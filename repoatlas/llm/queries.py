@@ -3,7 +3,16 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from repoatlas.llm import mixing, packing, quality_rules, simhash, sql, token_files, warc
+from repoatlas.llm import (
+    classifier,
+    mixing,
+    packing,
+    quality_rules,
+    simhash,
+    sql,
+    token_files,
+    warc,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +52,11 @@ def op7_token_files(spark, sf_dir):
     return token_files.read_token_files(files)
 
 
+def op8_quality_classifier(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classifier.quality_scores(documents(spark, sf_dir), labels)
+
+
 def op9_simhash_components(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -55,6 +69,7 @@ QUERIES = {
         op3_warc_round_trip,
         op6_quality_rules,
         op7_token_files,
+        op8_quality_classifier,
         op9_simhash_components,
     )
 }
