@@ -9,6 +9,8 @@ from repoatlas.llm.common import GAP, word_array
 MOST_LOST = 0.5
 MIN_WORDS = 50
 WINDOW = 3
+# Bits for the place of a window in its text.
+PLACE_BITS = 30
 SYMBOLS = r"[#*$%&|<>]"
 # Lines that are nothing but an item of navigation, and short lines of boilerplate.
 NAVIGATION = (
@@ -19,7 +21,7 @@ BOILERPLATE = (
     r"(?i)(all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|"
     r"enable javascript|lorem ipsum|click here)"
 )
-BOILERPLATE_WORDS = 30
+NAVIGATION_CHARS, BOILERPLATE_CHARS, SHORT_CHARS = 60, 300, 80
 ENDS = r"[.!?…:;,\"'”»)\]]\s*$"
 LOWER, UPPER = "[a-zß-öø-ÿ]", "[A-ZÀ-ÖØ-Þ]"
 
@@ -30,16 +32,19 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word goes: symbols, shouting, navigation or boilerplate."""
-    words = F.size(word_array(line))
+    """Whether a line with a word goes: symbols, shouting, navigation or boilerplate.
+
+    Cheap tests come first in each rule; few lines get past them.
+    """
+    words, chars = F.size(word_array(line)), F.char_length(line)
     marks = _count(line, "[^!]+")
     return (
-        (3 * _count(line, "[^" + SYMBOLS[1:] + "+") > words)
-        | ((marks >= 3) & (2 * marks > words))
+        (line.rlike(SYMBOLS) & (3 * _count(line, "[^" + SYMBOLS[1:] + "+") > words))
+        | (line.contains("!!") & (marks >= 3) & (2 * marks > words))
         | (~line.rlike(LOWER) & (_count(line, "[^" + UPPER[1:] + "+") >= 10))
-        | ((words < 4) & ~line.rlike(ENDS))
-        | ((words < 8) & line.rlike(NAVIGATION))
-        | ((words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+        | ((chars <= SHORT_CHARS) & ~line.rlike(ENDS) & (words < 4))
+        | ((chars <= NAVIGATION_CHARS) & line.rlike(NAVIGATION))
+        | ((chars <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE))
     )
 
 
@@ -64,35 +69,56 @@ def judged(docs: DataFrame) -> DataFrame:
         _count(text, "[^" + SYMBOLS[1:] + "+").cast("long").alias("_n_symbols"),
     )
     n = F.size("_words")
-    shingles = F.transform(
+
+    def window(i):
+        return [F.get("_words", i + k) for k in range(WINDOW)]
+
+    # Windows whose hash occurs again, found by sorting numbers: 34 bits of the hash, then
+    # the place. A superset of the repeated windows; the words decide below.
+    marks = F.transform(
         F.slice("_words", F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0))),
-        lambda w, i: F.concat_ws(" ", w, *(F.get("_words", i + k) for k in range(1, WINDOW))),
+        lambda w, i: F.shiftleft(
+            F.xxhash64(w, *window(i)[1:]).bitwiseAND(F.lit((1 << 34) - 1)), PLACE_BITS
+        ).bitwiseOR(i.cast("long")),
     )
     rows = rows.select(
         "_row",
         "_all_lines",
+        "_words",
         "_n_symbols",
         n.cast("long").alias("_n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
         F.filter("_all_lines", _has_word).alias("_lines"),
-        shingles.alias("_shingles"),
+        marks.alias("_marks"),
+    )
+    rows = rows.withColumn("_marks", F.sort_array("_marks"))
+
+    def code(mark):
+        return F.shiftrightunsigned(mark, PLACE_BITS)
+
+    again = F.filter(
+        "_marks",
+        lambda m, k: (code(m) == code(F.get("_marks", k - 1)))
+        | (code(m) == code(F.get("_marks", k + 1))),
     )
-    # Texts without a repeated shingle, which array_distinct tells, are not sorted.
-    repeats = F.size(F.array_distinct("_shingles")) < F.size("_shingles")
-    placed = F.sort_array(F.transform("_shingles", lambda s, i: F.struct(s.alias("s"), i.alias("i"))))
-    none = F.expr("cast(array() as array<struct<s:string,i:int>>)")
     rows = rows.select(
         "*",
-        F.when(repeats, placed).otherwise(none).alias("_placed"),
+        F.transform(
+            again, lambda m: m.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        ).alias("_candidates"),
         F.filter("_lines", line_fails).alias("_failed"),
-    ).drop("_shingles")
-    again = F.transform(
+    ).drop("_marks")
+    placed = F.transform(
+        "_candidates", lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("s"), i.alias("i"))
+    )
+    rows = rows.withColumn("_placed", F.sort_array(placed)).drop("_words", "_candidates")
+    repeated = F.transform(
         "_placed",
         lambda e, k: F.when(
             (e.s == F.get("_placed", k - 1).s) | (e.s == F.get("_placed", k + 1).s), e.i
         ),
     )
-    rows = rows.select("*", F.sort_array(F.array_compact(again)).alias("_starts")).drop("_placed")
+    rows = rows.withColumn("_starts", F.sort_array(F.array_compact(repeated))).drop("_placed")
     new_words = F.transform(
         "_starts",
         lambda p, k: F.least(F.lit(WINDOW), p - F.coalesce(F.get("_starts", k - 1), p - WINDOW)),

@@ -64,12 +64,13 @@ m AS (
 b AS (
   SELECT rid, sum(length(array_to_string(words, ''))) AS lost FROM m
   WHERE 3 * length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) > len(words)
-    OR (marks >= 3 AND 2 * marks > len(words))
+    OR (contains(line, '!!') AND marks >= 3 AND 2 * marks > len(words))
     OR (NOT regexp_matches(line, '[a-zß-öø-ÿ]')
       AND length(regexp_replace(line, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) >= 10)
-    OR (len(words) < 4 AND NOT regexp_matches(line, '[.!?…:;,"''”»)\]]\s*$'))
-    OR (len(words) < 8 AND regexp_matches(line, '(?i)^\W*(home|menu|log ?in|sign (in|up)|next|previous|back( to top)?|skip to content|read more|share( this)?|subscribe|contact( us)?|about( us)?)\W*$'))
-    OR (len(words) <= 30 AND regexp_matches(line, '(?i)(all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|lorem ipsum|click here)'))
+    OR (length(line) <= 80 AND len(words) < 4
+      AND NOT regexp_matches(line, '[.!?…:;,"''”»)\]]\s*$'))
+    OR (length(line) <= 60 AND regexp_matches(line, '(?i)^\W*(home|menu|log ?in|sign (in|up)|next|previous|back( to top)?|skip to content|read more|share( this)?|subscribe|contact( us)?|about( us)?)\W*$'))
+    OR (length(line) <= 300 AND regexp_matches(line, '(?i)(all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|lorem ipsum|click here)'))
   GROUP BY rid),
 c AS (
   SELECT doc_id, len(words)::BIGINT AS n_words,
