@@ -5,16 +5,20 @@ from pyspark.sql import functions as F
 
 from repoatlas.llm import (
     classifier,
+    exact_search,
+    language_model,
     mixing,
     packing,
     quality_rules,
     simhash,
     sql,
     token_files,
+    unigram_counts,
     warc,
 )
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -42,6 +46,14 @@ def op3_warc_round_trip(spark, sf_dir):
     )
 
 
+def op4_exact_top_k(spark, sf_dir):
+    return exact_search.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_token_counts(spark, sf_dir):
+    return unigram_counts.token_counts(documents(spark, sf_dir), PIECES)
+
+
 def op6_quality_rules(spark, sf_dir):
     judged = quality_rules.judged(documents(spark, sf_dir))
     return judged.select("doc_id", "_rules.*").drop("clean_text")
@@ -61,16 +73,23 @@ def op9_simhash_components(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_language_scores(spark, sf_dir):
+    return language_model.language_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources,
         op2_pack_sequences,
         op3_warc_round_trip,
+        op4_exact_top_k,
+        op5_token_counts,
         op6_quality_rules,
         op7_token_files,
         op8_quality_classifier,
         op9_simhash_components,
+        op10_language_scores,
     )
 }
 
