@@ -128,14 +128,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         for batch in batches:
             tiles = np.array(batch["tile"], np.int64)
             sides = np.array(batch["side"], np.int8)
-            fps = np.array(batch["fp"], np.int64)
+            fps = np.array(batch["fp"], np.int64).view(np.uint64)  # bits of all, sign included
             edges = []
             starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]]) if len(tiles) else []
             for low, high in zip(starts, [*starts[1:], len(tiles)]):
                 if group is None or group.tile != tiles[low]:
                     group = _Tile(tiles[low])
                 group.add(fps[low:high], sides[low:high], radius, edges)
-            found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+            found = np.concatenate(edges) if edges else np.zeros((0, 2), np.uint64)
+            found = found.view(np.int64)
             yield {"a": found[:, 0].tolist(), "b": found[:, 1].tolist()}
 
     grouped = sent.repartition("tile").sortWithinPartitions("tile", "side")
@@ -147,7 +148,7 @@ class _Tile:
 
     def __init__(self, tile):
         self.tile = tile
-        self.own = np.zeros(0, np.int64)
+        self.own = np.zeros(0, np.uint64)
 
     def add(self, fps, sides, radius, edges):
         own, others = fps[sides == 0], fps[sides == 1]
