@@ -22,7 +22,8 @@ def split_pattern(pattern: str) -> tuple[str, str]:
 
 
 # Pieces of a wildcard pattern: a bracket set, or one character.
-_PIECE = r"\[!?\]?[^\]]*\]|(?s:.)"
+# Possessive, so "[]" and "[!]" without a closing bracket after them stay literal.
+_PIECE = r"\[!?+\]?+[^\]]*+\]|(?s:.)"
 
 
 def _set_regex(body: str) -> str:

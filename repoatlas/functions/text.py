@@ -94,10 +94,6 @@ def last_marker(content: Column, marker: str) -> Column:
     )
 
 
-def marker_or_blank(value: Column) -> Column:
-    return F.coalesce(value, F.lit(""))
-
-
 def link_line(label: Column, target: Column) -> Column:
     return F.concat(F.lit("- ["), label, F.lit("]("), target, F.lit(")"))
 

@@ -74,8 +74,8 @@ def module_prompts(
 ) -> DataFrame:
     """prompts(repo, module, part, module_path, n_files, prompt, prompt_hash, fallback).
 
-    Files and structures are gathered in one grouping. A module above ``limit`` files gets
-    one prompt per part.
+    Files and structures are gathered in one grouping. A module has one prompt, whatever
+    its size; beyond ``limit`` files its lists are ordered in parts and then joined.
     """
     rows = run_files.select("repo", "path", "module", "module_path").join(
         structures.select("repo", "path", structure_text().alias("block")), ["repo", "path"], "left"
@@ -97,7 +97,22 @@ def module_prompts(
         F.array_join(
             F.transform("items", lambda i: F.concat(F.lit("- "), i["name"])), "\n"
         ).alias("file_list"),
-        F.array_join(F.transform("items", lambda i: i["block"]), "\n").alias("structure"),
+        F.when(
+            F.exists("items", lambda i: i["block"].isNotNull()),
+            F.array_join(F.transform("items", lambda i: i["block"]), "\n"),
+        ).alias("structure"),
+    )
+    # Where all modules have one part this grouping reuses the exchange before it.
+    parts = F.sort_array(
+        F.collect_list(F.struct("part", "module_path", "n_files", "file_list", "structure"))
+    )
+    listed = listed.groupBy(*_MODULE).agg(parts.alias("parts")).select(
+        *_MODULE,
+        F.lit(0).alias("part"),
+        F.col("parts")[0]["module_path"].alias("module_path"),
+        F.aggregate("parts", F.lit(0), lambda n, p: n + p["n_files"]).alias("n_files"),
+        F.array_join(F.transform("parts", lambda p: p["file_list"]), "\n").alias("file_list"),
+        F.array_join(F.transform("parts", lambda p: p["structure"]), "\n").alias("structure"),
     )
     module, path = F.col("module"), F.col("module_path")
     prompts = listed.select(

@@ -72,7 +72,9 @@ def combined_hashes(run_files: DataFrame, limit: int = PART_ROWS) -> DataFrame:
                 "combined_hash"
             )
         )
-    copies = run_files.groupBy(*_MODULE, "file_hash").agg(F.count(F.lit(1)).alias("times"))
+    # A file without a hash adds nothing, as in the joined text above.
+    hashed = run_files.withColumn("file_hash", F.coalesce("file_hash", F.lit("")))
+    copies = hashed.groupBy(*_MODULE, "file_hash").agg(F.count(F.lit(1)).alias("times"))
     # Sixteen bits of the digest: slices of a module stay even, whatever its size.
     slice_of = F.substring("file_hash", 1, len("sha256:") + 4)
     single = F.col("times") == 1

@@ -498,7 +498,10 @@ _QUERIES = {
         f"SELECT repo, replace({_NO_SUFFIX}, '/', '_') || '.md' AS doc_file, "
         f"replace({_NO_SUFFIX}, '_', '/') AS name FROM {_BOTH}"
     ),
-    "short_hash": "SELECT repo, path, left(file_hash, 7) AS short_hash FROM prose_hash",
+    "short_hash": (
+        "SELECT repo, module, left(sha256(string_agg(file_hash, '' ORDER BY file_hash)), 7) AS short_hash "
+        "FROM prose_hash GROUP BY repo, module"
+    ),
     "metadata_footer": (
         "SELECT o_orderkey, "
         + _footer("o_orderdate", "CASE WHEN o_orderstatus <> 'P' THEN sha256(o_orderkey::VARCHAR) END")
@@ -657,9 +660,10 @@ _QUERIES = {
     "related_sorted": (
         "SELECT module, side, string_agg(other, ' < ' ORDER BY other) AS others FROM sides GROUP BY module, side"
     ),
-    "docs_sorted": "SELECT 'star' AS repo, doc_file FROM docs ORDER BY doc_file",
+    "docs_sorted": "SELECT 'star' AS repo, doc_file, row_number() OVER (ORDER BY doc_file) AS place FROM docs",
     "categories_sorted": (
-        "SELECT DISTINCT 'star' AS repo, category, '### ' || category AS line FROM cats ORDER BY category"
+        "SELECT 'star' AS repo, category, '### ' || category AS line, row_number() OVER (ORDER BY category) AS place "
+        "FROM (SELECT DISTINCT category FROM cats)"
     ),
     "changed_except": (
         "SELECT repo, path, file_hash FROM prose_hash EXCEPT SELECT repo, path, file_hash FROM prose_state"

@@ -290,8 +290,10 @@ def doc_display_name(spark, sf_dir):
 
 
 def short_hash(spark, sf_dir):
-    hashed = changes.hash_files(corpora.documents_corpus(spark, sf_dir))
-    return hashed.select("repo", "path", text.short_hash(F.col("file_hash")).alias("short_hash"))
+    combined = modules.combined_hashes(_prose_hashed(spark, sf_dir))
+    return combined.select(
+        "repo", "module", text.short_hash(F.col("combined_hash")).alias("short_hash")
+    )
 
 
 def metadata_footer(spark, sf_dir):
@@ -655,15 +657,20 @@ def related_sorted(spark, sf_dir):
 
 
 def docs_sorted(spark, sf_dir):
-    return _saved_star_docs(spark, sf_dir).select("repo", "doc_file").orderBy("repo", "doc_file")
+    place = F.row_number().over(W.partitionBy("repo").orderBy("doc_file")).cast("long")
+    return _saved_star_docs(spark, sf_dir).select("repo", "doc_file", place.alias("place"))
 
 
 def categories_sorted(spark, sf_dir):
     return (
         documents.overview_lines(_saved_star_docs(spark, sf_dir))
         .where(F.col("line").startswith("### "))
-        .select("repo", "category", "line")
-        .orderBy("repo", "category")
+        .select(
+            "repo",
+            "category",
+            "line",
+            F.row_number().over(W.partitionBy("repo").orderBy("category")).cast("long").alias("place"),
+        )
     )
 
 

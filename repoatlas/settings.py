@@ -1,6 +1,6 @@
 """Job options and the fixed default values."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Default path rules.
 DEFAULT_INCLUDE = (
@@ -21,8 +21,8 @@ DEFAULT_EXCLUDE = (
 # File suffixes of C and C++ sources.
 CPP_SUFFIXES = (".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".hxx")
 
-# Rows that one aggregated value (a document, a list, a joined text) may be built
-# from. Groups above it are cut into ordered parts of this many rows.
+# Rows that one aggregation builds a list or text from at once. Larger groups are ordered
+# in parts of this many rows, which join to the same text.
 PART_ROWS = 100_000
 
 
@@ -37,4 +37,3 @@ class JobOptions:
     mode: str = "incremental"  # or "full"
     scope: str = "changed"  # or "module": all files of affected modules
     part_rows: int = PART_ROWS
-    extra: dict = field(default_factory=dict)

@@ -43,18 +43,6 @@ def _hit():
     return F.col("path").startswith(F.col("prefix")) & F.rlike("path", "regex")
 
 
-def rule_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo, path, kind, pattern) for every rule that accepts a file."""
-    prefix, regex = globs.rule_columns(F.col("pattern"))
-    compiled = rules.select("repo", "kind", "pattern", prefix.alias("prefix"), regex.alias("regex"))
-    return (
-        files.select("repo", "path")
-        .join(compiled, "repo")
-        .where(_hit())
-        .select("repo", "path", "kind", "pattern")
-    )
-
-
 def filter_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files of rule tables: no exclude rule of the repository may hit, some include must.
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from repoatlas.schemas import STATE_FILES, STATE_JSON, STATE_MODULES, STATE_RUNS
 
+# Run ids that are current at the same time up to which loads name them in a filter.
+PRUNED_RUNS = 1_000
+
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
@@ -40,8 +43,11 @@ def latest_runs(spark: SparkSession, base: str) -> DataFrame:
 def _load(spark: SparkSession, base: str, kind: str, schema) -> DataFrame:
     stored = schema.add("run_id", "string") if "run_id" not in schema.names else schema
     rows = _read(spark, f"{base}/{kind}", stored)
-    # (repo, run_id) are partition columns, so old snapshots are pruned, not read.
     current = latest_runs(spark, base).select("repo", "run_id")
+    # A filter of literals on the partition column keeps old snapshots from being read.
+    runs = [r.run_id for r in current.select("run_id").distinct().limit(PRUNED_RUNS + 1).collect()]
+    if len(runs) <= PRUNED_RUNS:
+        rows = rows.where(F.col("run_id").isin(runs))
     return rows.join(current, ["repo", "run_id"], "left_semi").select(
         *[c for c in schema.names if c != "run_id"]
     )
@@ -68,20 +74,23 @@ def save(
     modules: DataFrame,
     run_ts: Column,
 ) -> None:
-    """Write a full snapshot of the given repositories, then publish it."""
+    """Write a full snapshot of the given repositories, then publish it.
+
+    A run that died before it was published is overwritten; a published run id is refused.
+    """
+    if not load_runs(spark, base).where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"run {run_id} is published already")
     for kind, df in (("files", files), ("modules", modules)):
         (
-            df.withColumn("run_id", F.lit(run_id))
             # Even files per repository; a hot repository is split over tasks.
-            .hint("rebalance", "repo")
-            .write.mode("append")
-            .partitionBy("run_id", "repo")
-            .parquet(f"{base}/{kind}")
+            df.hint("rebalance", "repo")
+            .write.mode("overwrite")
+            .partitionBy("repo")
+            .parquet(f"{base}/{kind}/run_id={run_id}")
         )
-    written = spark.read.schema(_copy(STATE_FILES).add("run_id", "string")).parquet(f"{base}/files")
+    written = spark.read.schema(_copy(STATE_FILES)).parquet(f"{base}/files/run_id={run_id}")
     (
-        written.where(F.col("run_id") == run_id)
-        .select("repo")
+        written.select("repo")
         .distinct()
         .select(
             "repo",

@@ -44,10 +44,7 @@ def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, *key)
     if key not in _TABLES:
         path = new_dir(spark, "table")
-        tasks = max(
-            int(spark.conf.get("spark.sql.shuffle.partitions")),
-            spark.sparkContext.defaultParallelism,
-        )
-        build().repartition(tasks).write.parquet(path)
+        # Files follow the data: adaptive execution sizes the partitions of a rebalance.
+        build().hint("rebalance").write.parquet(path)
         _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])

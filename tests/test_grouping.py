@@ -45,9 +45,11 @@ def test_combined_hash_of_large_modules(spark):
     for _, _, digest, module, _ in rows:
         want.setdefault(module, []).append(digest)
     want = {m: hashlib.sha256("".join(sorted(h)).encode()).hexdigest() for m, h in want.items()}
-    for limit in (10, 100_000):
-        got = modules.combined_hashes(df, limit).collect()
-        assert {r.module: r.combined_hash for r in got} == want
+    unread = spark.createDataFrame([("r", "hot/x.h", None, "hot", "hot")], df.schema)
+    for limit in (1, 10, 100_000):
+        for table in (df, df.unionByName(unread)):
+            got = modules.combined_hashes(table, limit).collect()
+            assert {r.module: r.combined_hash for r in got} == want
 
 
 def test_module_groups_in_parts(spark):
@@ -78,8 +80,8 @@ def test_long_documents(spark):
 
     def docs(limit):
         related = documents.related_sections(edges, df.select("repo", "module"), limit)
-        # The fallback text of a part names its own files, so prompts stay whole here.
-        prompts = documents.module_prompts(df, structures)
+        prompts = documents.module_prompts(df, structures, limit)
+        assert prompts.groupBy("repo", "module").count().where("count > 1").isEmpty()
         return documents.module_docs(prompts, none, combined, related, ts)
 
     def texts(frame, key):
@@ -88,7 +90,8 @@ def test_long_documents(spark):
             out[r[key]] = out.get(r[key], "") + r.content
         return out
 
-    assert texts(docs(3), "module") == texts(docs(100_000), "module")
+    for limit in (1, 2, 3):
+        assert texts(docs(limit), "module") == texts(docs(100_000), "module")
     whole = documents.overviews(docs(100_000), ts)
     assert texts(documents.overviews(docs(3), ts, 4), "repo") == texts(whole, "repo")
 

@@ -9,12 +9,13 @@ from repoatlas.functions import globs, paths
 PATHS = [
     "a.h", "src/a.h", "srcx/a.h", "src/test/a.cpp", "test/a.cpp", "src/x/third_party/b.h",
     "src/[x]/a.h", "src/a+b.h", "src/a.h\n", "include/deep/er/n_1.hpp", "src/A.H", "x.y/z", "",
-    "src/p1/q/x_1.cpp", ".hidden", "dir/.hidden", "a.tar.gz", "dir/a.", "src/ab/c.h",
+    "src/p1/q/x_1.cpp", ".hidden", "dir/.hidden", "a.tar.gz", "dir/a.", "src/ab/c.h", "a[]b", "a", "[!]",
 ]
 PATTERNS = [
     "src/**/*.h", "**/test/**", "**/third_party/**", "src/**", "**", "*.h", "src/*.h", "s?c/*.h",
     "src/[ab].h", "src/[!a]*", "src/[[]x]/*", "**/p1/**/*_1.cpp", "src/a+b.h", "a*", "*", "?.h",
     "[z-a]*", "src/[", "include/**/n_[0-9].hpp", "*a*b*", "src/a*h", "**.h", "src/**/a?h",
+    "a[]b", "[!]", "[]", "[]a]", "[!]a]*",
 ]
 
 
