@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repoatlas.functions import text
+from repoatlas.sources.workspace import written
 
 
 def hash_files(files: DataFrame) -> DataFrame:
@@ -57,6 +58,8 @@ def first_paths(changed: DataFrame, limit: int = 10) -> DataFrame:
 def status_summary(current: DataFrame, changed: DataFrame, limit: int = 10) -> DataFrame:
     """Changed count, up-to-date flag, first paths and how many are left out."""
     repos = current.select("repo").distinct()
+    # Counts and names read the list of changed files; the anti join runs once for both.
+    changed = written(changed.select("repo", "path"), "changed")
     counts = changed.groupBy("repo").agg(F.count(F.lit(1)).alias("n_changed"))
     names = (
         first_paths(changed, limit)

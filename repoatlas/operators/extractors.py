@@ -49,6 +49,9 @@ class Registry:
     def register(self, extractor: Extractor) -> None:
         self._by_language[extractor.language] = extractor
 
+    def __iter__(self):
+        return iter(self._by_language.values())
+
     def language(self, path: Column) -> Column:
         """Language by the last suffix in lower case; the first registered one wins."""
         suffix = F.lower(paths.suffix(path))

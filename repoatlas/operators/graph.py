@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.functions import paths
+from repoatlas.sources.workspace import written
 
 
 def file_module_map(run_files: DataFrame, state_files: DataFrame | None) -> DataFrame:
@@ -17,6 +18,11 @@ def file_module_map(run_files: DataFrame, state_files: DataFrame | None) -> Data
     )
 
 
+def _stored_candidates(imports: DataFrame) -> DataFrame:
+    """Candidates are read three times by the joins; sources are lexed once for them."""
+    return written(candidates(imports), "candidates")
+
+
 def candidates(imports: DataFrame) -> DataFrame:
     """The two paths a local include may denote: as written, then from its directory."""
     return imports.withColumn("exact", F.col("name")).withColumn(
@@ -53,18 +59,18 @@ def _attach(cands: DataFrame, column: str, hits: DataFrame, out: str) -> DataFra
 
 
 def resolve_exact(imports: DataFrame, file_map: DataFrame) -> DataFrame:
-    cands = candidates(imports)
+    cands = _stored_candidates(imports)
     return _attach(cands, "exact", _hits(cands, ["exact"], file_map), "exact_module")
 
 
 def resolve_relative(imports: DataFrame, file_map: DataFrame) -> DataFrame:
-    cands = candidates(imports)
+    cands = _stored_candidates(imports)
     return _attach(cands, "relative", _hits(cands, ["relative"], file_map), "relative_module")
 
 
 def resolve_imports(imports: DataFrame, file_map: DataFrame) -> DataFrame:
     """Imports with ``target_module``: the path as written beats the relative one."""
-    cands = candidates(imports)
+    cands = _stored_candidates(imports)
     hits = _hits(cands, ["exact", "relative"], file_map)
     both = _attach(
         _attach(cands, "exact", hits, "exact_module"), "relative", hits, "relative_module"
@@ -86,12 +92,10 @@ def module_edges(imports: DataFrame, file_map: DataFrame) -> DataFrame:
         .select("repo", "module", F.concat_ws("/", folder, F.lit("_")).alias("path"), "name")
         .distinct()
     )
-    wanted = (
-        candidates(per_folder)
-        .select("repo", "module", "exact", "relative")
-        .distinct()
-        .withColumn("path", F.col("exact"))
-    )
+    wanted = written(
+        candidates(per_folder).select("repo", "module", "exact", "relative").distinct(),
+        "candidates",
+    ).withColumn("path", F.col("exact"))
     hits = _hits(wanted, ["exact", "relative"], file_map)
     both = _attach(
         _attach(wanted.withColumnRenamed("module", "src_module"), "exact", hits, "exact_module"),

@@ -1,28 +1,69 @@
 """Nested file structures and their text summaries."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.functions import cpp_text, paths, text
+from repoatlas.operators.includes import extract_includes
 from repoatlas.operators.symbols import symbol_rows
 
 _FILE = ["repo", "path"]
 
 
+def registry_structures(files: DataFrame, registry) -> DataFrame:
+    """``file_structures`` of every registered language, by its own extractor."""
+    language = registry.language(F.col("path"))
+    frames = []
+    for extractor in registry:
+        own = files.where(language == extractor.language)
+        if extractor.imports is extract_includes:
+            frames.append(file_structures(own, extractor.language))
+            continue
+        facts = F.array_sort(F.collect_list(F.struct("ordinal", "name", "is_system")))
+        listed = extractor.imports(own).groupBy(*_FILE).agg(facts.alias("facts"))
+        imports = own.select(*_FILE).join(listed, _FILE, "left").select(
+            *_FILE,
+            F.lit(extractor.language).alias("language"),
+            F.transform(
+                F.coalesce("facts", F.expr("cast(array() as array<struct<ordinal:int,name:string,is_system:boolean>>)")),
+                lambda f: F.struct(f["name"].alias("name"), f["is_system"].alias("is_system")),
+            ).alias("imports"),
+        )
+        rows = extractor.symbols(own) if extractor.symbols else symbol_rows(own).where("false")
+        frames.append(_with_symbols(imports, rows))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def file_structures(files: DataFrame, language: str = "cpp") -> DataFrame:
     """repo, path, language, imports, classes (with methods), functions; one row a file.
 
-    Symbol rows arrive hashed by (repo, path), which both groupings reuse. Includes are
-    row-local. Lists are as long as one file declares.
+    Includes are row-local. Lists are as long as one file declares.
     """
+    imports = files.select(
+        *_FILE,
+        F.lit(language).alias("language"),
+        F.transform(
+            cpp_text.include_texts(text.valid_text(F.col("content"))),
+            lambda t: F.struct(
+                cpp_text.include_name(t).alias("name"),
+                cpp_text.include_is_system(t).alias("is_system"),
+            ),
+        ).alias("imports"),
+    )
+    return _with_symbols(imports, symbol_rows(files))
+
+
+def _with_symbols(imports: DataFrame, rows: DataFrame) -> DataFrame:
+    """Symbol rows arrive hashed by (repo, path), which both groupings reuse."""
 
     def fields(*names):
         return F.struct(*[F.col(n) for n in names])
 
     function = fields("position", "name", "signature", "line_start", "line_end", "visibility")
     per_class = (
-        symbol_rows(files)
-        .groupBy(*_FILE, "class_id")
+        rows.groupBy(*_FILE, "class_id")
         .agg(
             F.max(
                 F.when(F.col("record") == "class", fields("kind", "name", "line_start", "line_end"))
@@ -51,17 +92,6 @@ def file_structures(files: DataFrame, language: str = "cpp") -> DataFrame:
         F.array_sort(F.collect_list(cls)).alias("classes"),
         F.flatten(F.collect_list("functions")).alias("functions"),
     )
-    imports = files.select(
-        *_FILE,
-        F.lit(language).alias("language"),
-        F.transform(
-            cpp_text.include_texts(text.valid_text(F.col("content"))),
-            lambda t: F.struct(
-                cpp_text.include_name(t).alias("name"),
-                cpp_text.include_is_system(t).alias("is_system"),
-            ),
-        ).alias("imports"),
-    )
     joined = imports.join(symbols, _FILE, "left")
     types = dict(symbols.dtypes)
 

@@ -556,7 +556,7 @@ def module_degrees(spark, sf_dir):
 
 
 def include_summary(spark, sf_dir):
-    return includes.include_summary(_star_imports(spark, sf_dir)).drop("repo")
+    return includes.include_summary(_star(spark, sf_dir)).drop("repo")
 
 
 def _structures(spark, sf_dir):

@@ -9,17 +9,18 @@ from repoatlas.operators import (
     changes,
     documents,
     graph,
-    includes,
     modules,
     state,
     structures,
 )
-from repoatlas.operators.extractors import default_registry
+from repoatlas.operators.extractors import CPP, Registry
+from repoatlas.operators.summarize import summarize, unanswered
 from repoatlas.plans.status import select_files
+from repoatlas.schemas import COMPLETIONS
 from repoatlas.settings import JobOptions
 from repoatlas.sources import docs as doc_tables
 from repoatlas.sources import state_store
-from repoatlas.sources.workspace import materialize
+from repoatlas.sources.workspace import materialize, small_enough, written
 
 
 @dataclass(frozen=True)
@@ -52,19 +53,24 @@ def prepare(
         changed = changes.changed_files(current, state_files)
         # The narrow list of changed files steers every later stage: computed once.
         run_files = materialize(state.files_of_scope(current, changed, options.scope))
-    known = selected.where(default_registry().language(F.col("path")) == "cpp")
+    known = selected.where(registry_of(options).language(F.col("path")).isNotNull())
     sources = (
         known
         if options.mode == "full"
-        else known.join(run_files.select("repo", "path"), ["repo", "path"], "left_semi")
+        # A short list of changed files goes to the content; only a long one moves it.
+        else known.join(small_enough(run_files.select("repo", "path")), ["repo", "path"], "left_semi")
     )
     return Run(current, run_files, sources, graph.file_module_map(run_files, state_files))
 
 
+def registry_of(options: JobOptions) -> Registry:
+    return options.registry or Registry(CPP)
+
+
 def run_imports(run: Run, options: JobOptions) -> DataFrame:
     """Includes of the run's files with the module of the importing file."""
     return modules.assign_modules(
-        includes.extract_includes(run.sources), options.strategy, options.depth
+        registry_of(options).imports(run.sources), options.strategy, options.depth
     )
 
 
@@ -75,7 +81,9 @@ def module_edges(run: Run, options: JobOptions) -> DataFrame:
 
 def prompts(run: Run, options: JobOptions) -> DataFrame:
     return documents.module_prompts(
-        run.run_files, structures.file_structures(run.sources), options.part_rows
+        run.run_files,
+        structures.registry_structures(run.sources, registry_of(options)),
+        options.part_rows,
     )
 
 
@@ -106,9 +114,14 @@ def update(
     run_ts: Column,
     options: JobOptions,
     rules: DataFrame | None = None,
+    summarizer=None,
 ) -> bool:
     """Run and save under ``base``; False if there was nothing to do.
 
+    ``summarizer``, a function over Arrow batches as ``summarize`` takes it, answers the
+    prompts that have no stored completion; its answers are saved under
+    ``base/completions`` and serve later runs.
+
     Documents and overviews are written per run; the state is published last, so a run
     that dies leaves the previous one in force.
     """
@@ -118,7 +131,25 @@ def update(
     run_files = run.run_files
     if run_files.isEmpty():
         return False
-    documents_new = new_docs(run, options, prompts(run, options), completions, run_ts)
+    prompt_table = written(prompts(run, options), "prompts")
+    completions = completions.select("repo", "prompt_hash", "text")
+    if summarizer is not None:
+        answers = f"{base}/completions"
+        saved = state_store.read_or_empty(spark, answers, COMPLETIONS)
+        completions = completions.unionByName(
+            saved.join(completions, ["repo", "prompt_hash"], "left_anti")
+        )
+        missing = unanswered(prompt_table, completions)
+        summarize(missing, summarizer).write.mode("append").parquet(answers)
+        saved = spark.read.schema(COMPLETIONS).parquet(answers)
+        completions = completions.unionByName(
+            saved.join(completions, ["repo", "prompt_hash"], "left_anti")
+        )
+    # The merged table refers to the new documents twice.
+    documents_new = written(
+        new_docs(run, options, prompt_table, completions.dropDuplicates(["repo", "prompt_hash"]), run_ts),
+        "documents",
+    )
     saved_docs = load_docs(spark, base, run_files)
     all_docs = (
         documents_new if saved_docs is None else documents.merge_docs(saved_docs, documents_new)

@@ -37,3 +37,4 @@ class JobOptions:
     mode: str = "incremental"  # or "full"
     scope: str = "changed"  # or "module": all files of affected modules
     part_rows: int = PART_ROWS
+    registry: object = None  # an extractors.Registry; C and C++ alone if missing

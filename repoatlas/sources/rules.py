@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 
 from repoatlas.functions import globs
 from repoatlas.settings import DEFAULT_EXCLUDE, DEFAULT_INCLUDE
+from repoatlas.sources.workspace import written
+
+# Repositories whose rules are sent to all tasks; each has some dozen patterns.
+BROADCAST_REPOS = 20_000
 
 
 def effective_rules(
@@ -32,27 +36,43 @@ def effective_rules(
     )
 
 
-def _compiled(rules: DataFrame, kind: str) -> DataFrame:
+def folded_rules(rules: DataFrame) -> DataFrame:
+    """One row a repository: its include and exclude rules as arrays.
+
+    A null pattern is an explicitly empty list: it keeps the defaults out and accepts nothing.
+    """
     prefix, regex = globs.rule_columns(F.col("pattern"))
-    return rules.where(F.col("kind") == kind).select(
-        "repo", "pattern", prefix.alias("prefix"), regex.alias("regex")
+    compiled = rules.select("repo", "kind", "pattern", F.struct(prefix.alias("prefix"), regex.alias("regex")).alias("rule"))
+
+    def side(kind):
+        wanted = (F.col("kind") == kind) & F.col("pattern").isNotNull()
+        return F.collect_list(F.when(wanted, F.col("rule")))
+
+    return compiled.groupBy(F.col("repo").alias("rule_repo")).agg(
+        side("include").alias("includes"), side("exclude").alias("excludes")
     )
 
 
-def _hit():
-    return F.col("path").startswith(F.col("prefix")) & F.rlike("path", "regex")
+def _selected():
+    def hit(rules):
+        return F.exists(
+            rules, lambda r: F.col("path").startswith(r["prefix"]) & F.rlike("path", r["regex"])
+        )
+
+    return hit("includes") & ~hit("excludes")
 
 
 def filter_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files of rule tables: no exclude rule of the repository may hit, some include must.
 
-    Equi joins on the repository with the glob as the residual condition; only the hit
-    test leaves a join, so no (file, rule) pairs are emitted.
+    A repository's rules are one row. If all rows fit a broadcast, files are tested where
+    they are read and nothing is shuffled. Otherwise only (repo, path) meets the rules, and
+    the content joins the selected paths by both, so no repository is a hot key for it.
     """
-
-    def join(df, kind, how):
-        side = _compiled(rules, kind).withColumnRenamed("repo", "rule_repo")
-        on = (F.col("repo") == F.col("rule_repo")) & _hit()
-        return df.join(side, on, how)
-
-    return join(join(files, "exclude", "left_anti"), "include", "left_semi")
+    folded = written(folded_rules(rules), "rules")
+    same = F.col("repo") == F.col("rule_repo")
+    if folded.count() <= BROADCAST_REPOS:
+        joined = files.join(F.broadcast(folded), same).where(_selected())
+        return joined.drop("rule_repo", "includes", "excludes")
+    narrow = files.select("repo", "path").join(folded, same).where(_selected())
+    return files.join(narrow.select("repo", "path").distinct(), ["repo", "path"], "left_semi")

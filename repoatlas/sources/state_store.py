@@ -18,7 +18,7 @@ from repoatlas.schemas import STATE_FILES, STATE_JSON, STATE_MODULES, STATE_RUNS
 PRUNED_RUNS = 1_000
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -28,7 +28,7 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def load_runs(spark: SparkSession, base: str) -> DataFrame:
-    return _read(spark, f"{base}/runs", STATE_RUNS)
+    return read_or_empty(spark, f"{base}/runs", STATE_RUNS)
 
 
 def latest_runs(spark: SparkSession, base: str) -> DataFrame:
@@ -42,7 +42,7 @@ def latest_runs(spark: SparkSession, base: str) -> DataFrame:
 
 def _load(spark: SparkSession, base: str, kind: str, schema) -> DataFrame:
     stored = schema.add("run_id", "string") if "run_id" not in schema.names else schema
-    rows = _read(spark, f"{base}/{kind}", stored)
+    rows = read_or_empty(spark, f"{base}/{kind}", stored)
     current = latest_runs(spark, base).select("repo", "run_id")
     # A filter of literals on the partition column keeps old snapshots from being read.
     runs = [r.run_id for r in current.select("run_id").distinct().limit(PRUNED_RUNS + 1).collect()]

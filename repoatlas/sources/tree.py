@@ -6,6 +6,7 @@ underscore and empty files. The data source below keeps them.
 
 import datetime
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from repoatlas.functions import paths
 
 
 class _Subtree(InputPartition):
-    def __init__(self, folder, recursive):
-        super().__init__((folder, recursive))
+    """A folder, with what lies below it or without, and which share of its files."""
+
+    def __init__(self, folder, recursive, share, shares):
+        super().__init__((folder, recursive, share, shares))
 
 
 class _TreeReader(DataSourceReader):
@@ -30,18 +33,23 @@ class _TreeReader(DataSourceReader):
         opened, frontier = [], [self.root]
         while frontier and len(opened) + len(frontier) < self.tasks:
             folder = frontier.pop(0)
-            opened.append(_Subtree(folder, False))
+            opened.append(folder)
             with os.scandir(folder) as entries:
                 frontier += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
-        return opened + [_Subtree(folder, True) for folder in frontier]
+        # A flat folder would be one task: the files of each are dealt by a hash of the path.
+        folders = [(f, False) for f in opened] + [(f, True) for f in frontier]
+        shares = -(-self.tasks // len(folders))
+        return [_Subtree(*f, share, shares) for f in folders for share in range(shares)]
 
     def read(self, partition):
-        folder, recursive = partition.value
+        folder, recursive, share, shares = partition.value
         for where, folders, names in os.walk(folder):
             if not recursive:
                 folders.clear()
             for name in names:
                 full = os.path.join(where, name)
+                if zlib.crc32(os.fsencode(full)) % shares != share:
+                    continue
                 if not os.path.isfile(full):
                     continue
                 with open(full, "rb") as file:
@@ -71,8 +79,12 @@ class SourceTree(DataSource):
         return _TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, repo: str, tasks: int = 64) -> DataFrame:
-    """Every regular file under a folder that all executors can open."""
+def read_tree(spark: SparkSession, root: str, repo: str, tasks: int | None = None) -> DataFrame:
+    """Every regular file under a folder that all executors can open.
+
+    ``tasks``: about how many tasks read, by default four for each core of the cluster.
+    """
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
     spark.dataSource.register(SourceTree)
     return (
         spark.read.format("source_tree").option("repo", repo).option("tasks", str(tasks)).load(root)

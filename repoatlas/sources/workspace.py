@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -33,6 +34,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows from a table in the shared folder, for tables that several readers share."""
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small_enough(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stored table, sent to all tasks if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 _TABLES: dict[tuple, str] = {}
 
 

@@ -2,13 +2,14 @@ import json
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from repoatlas.operators import changes, documents, graph
 from repoatlas.operators.extractors import CPP, Extractor, Registry
 from repoatlas.operators.summarize import summarize, unanswered
 from repoatlas.plans.status import status
-from repoatlas.plans.update import prepare, prompts, update
+from repoatlas.plans.update import module_edges, prepare, prompts, update
 from repoatlas.settings import JobOptions
 from repoatlas.sources import docs as doc_tables
 from repoatlas.sources import rules, state_store
@@ -215,3 +216,38 @@ def test_change_feed(spark):
         ("b", 1, "added"), ("b", 2, "modified"), ("c", 1, "added"),
     ]
     assert os.path.isdir(out)
+
+
+def test_plug_in_and_summarizer_in_the_job(spark):
+    """A registered language reaches prompts and graph; open prompts reach the summariser."""
+    def imports(files):
+        return files.select(
+            "repo", "path", F.lit(0).alias("ordinal"), F.lit("src/b/y.h").alias("name"), F.lit(False).alias("is_system")
+        )
+
+    registry = Registry(CPP, Extractor("toy", (".toy",), imports))
+    options = JobOptions(include=("src/**",), registry=registry)
+    files = _table(spark, {**FILES, "src/t/a.toy": "x"})
+    empty = state_store.load_files(spark, new_dir(spark, "n"))
+    run = prepare(files, empty, options)
+    edges = {tuple(r) for r in module_edges(run, options).collect()}
+    assert ("r", "src/t", "src/b") in edges
+
+    def answer(batches):
+        for b in batches:
+            yield pd.DataFrame({"repo": b["repo"], "prompt_hash": b["prompt_hash"], "text": "answer"})
+
+    base = new_dir(spark, "job")
+    assert update(spark, base, files, _none(spark), "one", _ts("2024-01-01 00:00:00"), options, summarizer=answer)
+    texts = [r.content for r in doc_tables.read_docs(spark, f"{base}/docs/run_id=one").collect()]
+    assert texts and all(t.startswith("answer") for t in texts)
+    assert spark.read.parquet(f"{base}/completions").count() == len(texts)
+    with pytest.raises(ValueError):
+        state_store.save(spark, base, "one", run.run_files, run.run_files, _ts("2024-01-01 00:00:00"))
+
+
+def test_explicitly_empty_rules(spark):
+    files = _table(spark, {"src/a.cpp": ""}, "one")
+    own = spark.createDataFrame([("one", "include", None)], "repo string, kind string, pattern string")
+    effective = rules.effective_rules(files.select("repo").distinct(), own)
+    assert rules.filter_by_rules(files, effective).count() == 0
