@@ -44,7 +44,9 @@ def _nest(opening: str, closing: str, depth: int) -> str:
     return inner
 
 
-_PAREN = _nest(r"\(", r"\)", 6)
+# How deep the patterns follow brackets; deeper ones are hidden before they are used.
+_PAREN_DEPTH, _ANGLE_DEPTH = 7, 4
+_PAREN = _nest(r"\(", r"\)", _PAREN_DEPTH - 1)
 _ANGLE = r"<(?:[^<>;{}]|<(?:[^<>;{}]|<(?:[^<>;{}]|<[^<>;{}]*+>)*+>)*+>)*+>"
 _ATTR = r"\[\[[^\]]*+\]\]|(?:alignas|__attribute__|__declspec)\s*+" + _PAREN
 
@@ -164,6 +166,31 @@ def shown(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, MARK, ""), _HIDDEN, _ASCII)
 
 
+def _hide_nested(text: Column, opening: str, closing: str, barred: str, depth: int) -> Column:
+    """Hides the brackets of groups within groups, innermost first, until none is left.
+
+    Only texts with more opening brackets than the patterns can nest are changed. Each step
+    hides a group in every group that holds one, so as many steps as brackets are enough.
+    """
+    within = rf"({opening}[^{barred}]*+){opening}([^{barred}]*+){closing}"
+    hidden = [chr(0xE000 + ord(c[-1])) for c in (opening, closing)]
+    count = F.length(text) - F.length(F.replace(text, F.lit(opening[-1]), F.lit("")))
+    steps = F.sequence(F.lit(1), count)
+    # The possessive run before the inner bracket ends at the first bracket, so only groups
+    # without brackets of their own are taken.
+    flat = F.aggregate(
+        steps, text, lambda t, _: F.regexp_replace(t, within, f"$1{hidden[0]}$2{hidden[1]}")
+    )
+    return F.when(count > depth, flat).otherwise(text)
+
+
+def shallow(segment: Column) -> Column:
+    """A segment whose brackets nest no deeper than the header patterns follow them."""
+    return _hide_nested(
+        _hide_nested(segment, r"\(", r"\)", "()", _PAREN_DEPTH), "<", ">", "<>;{}", _ANGLE_DEPTH
+    )
+
+
 def segments(text: Column) -> Column:
     """Segments ending at a brace, a semicolon or an access label, and the rest.
 
@@ -251,7 +278,7 @@ def class_keyword(match: Column) -> Column:
 
 def class_name(match: Column) -> Column:
     return F.regexp_replace(
-        F.regexp_replace(F.regexp_extract(match, _CLASS_HEAD, 4), MARK, ""), r"\A\s++|\s++\z", ""
+        shown(F.regexp_extract(match, _CLASS_HEAD, 4)), r"\A\s++|\s++\z", ""
     )
 
 
@@ -267,14 +294,12 @@ def class_mentions(head: Column, opens_scope: Column) -> Column:
         F.regexp_extract_all(rest, F.lit(_MENTION), F.lit(0)),
         lambda m: F.struct(
             F.regexp_extract(m, r"\x02(class|struct)\b", 1).alias("kind"),
-            F.regexp_replace(
+            shown(
                 F.regexp_extract(
                     m,
                     rf"(?s)({_WORD}(?:\s*+::\s*+{_WORD})*+(?:\s*+{_ANGLE})?+)\z",
                     1,
-                ),
-                MARK,
-                "",
+                )
             ).alias("name"),
             F.regexp_extract(m, r"\A\x01(\d+)", 1).try_cast("int").alias("line_start"),
             last_line(m).alias("line_end"),

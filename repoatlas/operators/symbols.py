@@ -67,6 +67,7 @@ def file_segments(files: DataFrame) -> DataFrame:
         C.last_code_line(F.element_at("segments", -1)).alias("end_line"),
         F.posexplode("segments").alias("pos", "segment"),
     ).where(C.segment_matters(F.col("segment")))
+    rows = rows.withColumn("segment", C.shallow(F.col("segment")))
     segment = F.col("segment")
     rows = rows.select(
         *_FILE,

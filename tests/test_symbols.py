@@ -181,3 +181,19 @@ Internal Functions:
 def test_one_exchange_for_all_symbols(spark):
     plan = symbols.symbol_rows(_files(spark, SOURCE))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_brackets_nest_to_any_depth(spark):
+    deep = "(" * 12 + "1" + ")" * 12
+    angle = "A<" * 9 + "int" + ">" * 9
+    source = (
+        f"int f(int a = {deep}, int b = (2) + ((3))) {{ return a; }}\n"
+        f"{angle} g({angle} x) {{ return x; }}\n"
+        f"template <> struct B<{angle}> {{ int m() {{ return 1; }} }};\n"
+    )
+    row = file_structures(_files(spark, source)).first()
+    assert [(x.name, x.signature) for x in row.functions] == [
+        ("f", f"int f(int a = {deep}, int b = (2) + ((3)))"),
+        ("g", f"{angle} g({angle} x)"),
+    ]
+    assert [(c.name, [m.name for m in c.methods]) for c in row.classes] == [(f"B<{angle}>", ["m"])]
