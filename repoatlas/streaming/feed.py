@@ -1,48 +1,74 @@
 """Change feed over arriving file versions."""
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from repoatlas.functions import text
 
 CHANGES = "repo string, path string, version bigint, file_hash string, change string"
 
 
-def _changes_of_file(key, batches, state: GroupState):
-    """Versions of one file against the hash kept for it."""
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("version", kind="stable")
-    out = []
-    for version, file_hash in zip(rows["version"], rows["file_hash"]):
-        if file_hash == last:
-            continue
-        change = "added" if last is None else "modified"
-        out.append((*key, version, file_hash, change))
-        last = file_hash
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["repo", "path", "version", "file_hash", "change"])
+STATE = "repo string, path string, file_hash string"
+# Keeps keys on the executors' disks instead of in their memory.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def change_feed(versions: DataFrame) -> DataFrame:
+class _FileState(StatefulProcessor):
+    """The last hash of a file; saved state comes in before the first batch."""
+
+    def init(self, handle):
+        self.last = handle.getValueState("last", "file_hash string")
+
+    def handleInitialState(self, key, initialState, timerValues):
+        self.last.update((initialState["file_hash"].iloc[-1],))
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        versions = pd.concat(list(rows)).sort_values("version", kind="stable")
+        out = []
+        for version, file_hash in zip(versions["version"], versions["file_hash"]):
+            if file_hash == last:
+                continue
+            out.append((*key, version, file_hash, "added" if last is None else "modified"))
+            last = file_hash
+        if last is not None:
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=["repo", "path", "version", "file_hash", "change"])
+
+    def close(self):
+        pass
+
+
+def change_feed(versions: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     """Streaming (repo, path, version, content) -> the versions that changed a file.
 
     Content is hashed before the shuffle, so only hashes travel. State is one hash per
-    file, keyed by (repo, path) in the state store; a batch touches only its own files.
+    file, keyed by (repo, path); a batch touches only its own files. ``saved``, the state
+    files of the last run, is what the first batch of a new checkpoint compares with. The
+    session's state store provider must be ``PROVIDER``.
     """
     hashed = versions.select(
         "repo", "path", "version", text.content_hash(F.col("content")).alias("file_hash")
     )
-    return hashed.groupBy("repo", "path").applyInPandasWithState(
-        _changes_of_file, CHANGES, "file_hash string", "append", GroupStateTimeout.NoTimeout
+    known = saved if saved is not None else versions.sparkSession.createDataFrame([], STATE)
+    return hashed.groupBy("repo", "path").transformWithStateInPandas(
+        _FileState(),
+        CHANGES,
+        "Append",
+        "None",
+        known.select("repo", "path", "file_hash").groupBy("repo", "path"),
     )
 
 
-def run_feed(versions: DataFrame, out: str, checkpoint: str) -> None:
+def run_feed(
+    versions: DataFrame, out: str, checkpoint: str, saved: DataFrame | None = None
+) -> None:
     """Process everything that has arrived and append the changes to a table."""
+    versions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     query = (
-        change_feed(versions)
+        change_feed(versions, saved)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", out)
@@ -51,3 +77,12 @@ def run_feed(versions: DataFrame, out: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+def feed_state(spark: SparkSession, saved: DataFrame, out: str) -> DataFrame:
+    """(repo, path, file_hash) after the feed: the last change of each file over the saved state."""
+    changes = spark.read.schema(CHANGES).parquet(out)
+    latest = changes.groupBy("repo", "path").agg(F.max_by("file_hash", "version").alias("new_hash"))
+    return saved.select("repo", "path", "file_hash").join(
+        latest, ["repo", "path"], "full_outer"
+    ).select("repo", "path", F.coalesce("new_hash", "file_hash").alias("file_hash"))

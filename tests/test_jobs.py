@@ -15,7 +15,7 @@ from repoatlas.sources import docs as doc_tables
 from repoatlas.sources import rules, state_store
 from repoatlas.sources.tree import read_binary_tree, read_tree
 from repoatlas.sources.workspace import new_dir
-from repoatlas.streaming.feed import CHANGES, run_feed
+from repoatlas.streaming.feed import CHANGES, feed_state, run_feed
 
 FILES = {
     "src/a/x.cpp": '#include "../b/y.h"\n#include "src/c/z.h"\n#include "x.h"\nint f() { return 1; }\n',
@@ -251,3 +251,18 @@ def test_explicitly_empty_rules(spark):
     own = spark.createDataFrame([("one", "include", None)], "repo string, kind string, pattern string")
     effective = rules.effective_rules(files.select("repo").distinct(), own)
     assert rules.filter_by_rules(files, effective).count() == 0
+
+
+def test_change_feed_on_saved_state(spark):
+    source, out, checkpoint = (new_dir(spark, n) for n in ("in", "out", "ck"))
+    files = _table(spark, {"a": "x", "b": "y", "c": "z"})
+    saved = changes.hash_files(files.where("path <> 'c'"))
+    versions = files.withColumn("version", F.lit(1).cast("bigint")).select("repo", "path", "version", "content")
+    versions = versions.withColumn("content", F.when(F.col("path") == "b", F.lit(b"new")).otherwise(F.col("content")))
+    versions.write.parquet(source)
+    run_feed(spark.readStream.schema(versions.schema).parquet(source), out, checkpoint, saved)
+    got = spark.read.schema(CHANGES).parquet(out).orderBy("path").collect()
+    assert [(r.path, r.change) for r in got] == [("b", "modified"), ("c", "added")]
+    now = {r.path: r.file_hash for r in feed_state(spark, saved, out).collect()}
+    want = {r.path: r.file_hash for r in changes.hash_files(versions).collect()}
+    assert now == want
