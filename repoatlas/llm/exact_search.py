@@ -25,7 +25,12 @@ def whole_vectors(embeddings: DataFrame) -> DataFrame:
     finite = F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
     )
-    scaled = F.transform(x, lambda c: F.rint(F.floor(c.cast("double") * SCALE).cast("double")))
+
+    def floor(y):
+        # Larger doubles are whole already, and beyond what a long holds.
+        return F.when(F.abs(y) < _EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    scaled = F.transform(x, lambda c: floor(c.cast("double") * SCALE))
     return embeddings.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select(
         F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v")
     )

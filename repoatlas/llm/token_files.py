@@ -24,7 +24,7 @@ from repoatlas.llm.common import (
 from repoatlas.sources.workspace import new_dir
 
 MARK = b"TOKZDCT1"
-# Rows that the dictionary is trained on, by smallest hash of the text, and its bytes.
+# Rows that the dictionary is trained on, about, by hash of the id, and its bytes.
 DICTIONARY_ROWS = 1_000
 DICTIONARY_BYTES = 64 * 1024
 # Of a text in that sample, so many first ids are given to the trainer.
@@ -40,7 +40,12 @@ def train_dictionary(docs: DataFrame, path: str, folds: bool, end_id: int, width
     """A dictionary from id arrays of a bounded sample; empty if there is too little to train."""
     import zstandard
 
-    sample = docs.select("text").orderBy(F.xxhash64("text"), "text").limit(DICTIONARY_ROWS)
+    total = docs.count()
+    sample = docs.select("doc_id", "text")
+    if total > DICTIONARY_ROWS:
+        # Hashes are even over the signed 64 bits. The limit only bounds equal ids.
+        bound = int(DICTIONARY_ROWS / total * 2**64) - 2**63
+        sample = sample.where(F.xxhash64("doc_id") < bound).limit(4 * DICTIONARY_ROWS)
 
     def ids(batches):
         encoder = text_encoder(path, folds, width)
@@ -48,7 +53,7 @@ def train_dictionary(docs: DataFrame, path: str, folds: bool, end_id: int, width
             rows = [encoded(t, encoder, end_id, width) for t in batch["text"]]
             yield {"ids": [r[: DICTIONARY_IDS * width] for r in rows]}
 
-    rows = [bytes(r.ids) for r in arrow_map(sample, ids, "ids binary").collect()]
+    rows = [bytes(r.ids) for r in arrow_map(sample.select("text"), ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
     except (zstandard.ZstdError, ValueError):
