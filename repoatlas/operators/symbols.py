@@ -15,7 +15,9 @@ from repoatlas.functions import text
 
 _FILE = ("repo", "path")
 _CLASSES = ("class", "struct")
-_SEGMENT_ROOM = 1 << 20  # class mentions that one segment may hold
+# Mentions of classes that one segment may hold: more than a string has room for. Places in a
+# file are ints, so ids stay within a long.
+_SEGMENT_ROOM = 1 << 31
 
 
 def _in_file(*keys, order="pos"):
@@ -52,7 +54,7 @@ def _free_visibility():
 
 def _class_id(pos, nth=None):
     """Order-preserving id; the body of a segment comes after its bodyless mentions."""
-    nth = F.lit(_SEGMENT_ROOM - 1) if nth is None else nth
+    nth = F.lit(_SEGMENT_ROOM - 1) if nth is None else nth.cast("long")
     return pos.cast("long") * _SEGMENT_ROOM + nth
 
 

@@ -16,7 +16,7 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_overviews(overviews: DataFrame, path: str) -> None:
-    overviews.write.mode("overwrite").partitionBy("repo").parquet(path)
+    overviews.hint("rebalance", "repo").write.mode("overwrite").partitionBy("repo").parquet(path)
 
 
 def read_overviews(spark: SparkSession, path: str) -> DataFrame:
