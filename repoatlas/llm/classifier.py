@@ -23,7 +23,7 @@ PASSES = 3
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.5, 1.0
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.5
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 100_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _memo: dict[str, int] = {}
