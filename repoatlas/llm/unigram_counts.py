@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 
 from repoatlas.llm.common import arrow_map, utf8
 
-# Nodes of a worker's trie; beyond them it starts anew, so memory stays bounded.
-NODES = 500_000
+# Nodes of a worker's trie; beyond them it starts anew, so memory stays bounded. The counts
+# of finished words outlast it, in two generations of so many words.
+NODES = 300_000
+WORDS = 300_000
 # Words with more characters are segmented on their own, outside the trie.
 LONG_WORD = 200
 WORD_START = "▁"
@@ -46,18 +48,23 @@ class PrefixTrie:
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0.0) - BYTE_PENALTY
         self.limit = nodes
+        self.terminal: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self.clear()
 
     def clear(self):
         self.root = ({}, 0.0, 0)
         self.size = 0
-        self.terminal: dict[bytes, int] = {}
 
     def count(self, word: bytes) -> int:
         """Tokens of a word's best segmentation."""
         known = self.terminal.get(word)
+        if known is None and (known := self.older.get(word)) is not None:
+            self.terminal[word] = known
         if known is not None:
             return known
+        if len(self.terminal) > WORDS:
+            self.older, self.terminal = self.terminal, {}
         if self.size > self.limit:
             self.clear()
         text = WORD_START + word.decode("utf-8", "surrogatepass")
