@@ -215,10 +215,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Whole rows of one document of each component: the one with the smallest doc_id.
 
-    Of rows that share that doc_id one stays. Rows without a doc_id cannot be told apart;
-    they leave.
+    Rows are told apart by a key that is written once with them, so null and repeated ids
+    lose nothing: of rows that share the smallest id one stays, and a row without id stays
+    only where no other row of its component has one.
     """
-    found = near_duplicates(docs, shingle, radius)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(written(stay, "stay"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    keyed = written(
+        docs.select(
+            F.monotonically_increasing_id().alias("key"),
+            F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
+            _fingerprint_column(docs["text"], shingle).alias("fp"),
+        ),
+        "keyed",
+    )
+    distinct = written(keyed.select("fp").distinct(), "distinct")
+    roots = written(components(links(distinct, radius)), "roots")
+    rooted = keyed.select("key", F.col("row.doc_id").alias("doc_id"), "fp").join(
+        roots, keyed.fp == roots.node, "left"
+    )
+    return _first_rows(keyed, rooted.select("key", "doc_id", F.coalesce("root", "fp").alias("root")))
+
+
+def _fingerprint_column(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("long")
+    def run(texts):
+        import pandas as pd
+
+        values = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+        return pd.Series(values.view(np.int64))
+
+    return run(text)
+
+
+def _first_rows(keyed: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of ``keyed(key, row)`` with the smallest id for each root of ``rooted``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    stay = rooted.groupBy("root").agg(first).select(F.col("first.key").alias("key"))
+    return keyed.join(written(stay, "stay"), "key", "left_semi").select("row.*")

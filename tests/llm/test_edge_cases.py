@@ -151,3 +151,14 @@ def test_pipeline_on_an_empty_table(spark):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 0
+
+
+def test_keep_one_loses_no_text_to_null_or_repeated_ids(spark):
+    words = {name: " ".join(f"{name}{n}" for n in range(80)) for name in "abcd"}
+    rows = [
+        (None, words["a"]), (None, words["b"]), (None, words["b"]),
+        (1, words["c"]), (1, words["d"]), (0, words["d"]), (None, words["d"]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.text, r.doc_id) for r in simhash.keep_one(docs).collect())
+    assert kept == [(words["a"], None), (words["b"], None), (words["c"], 1), (words["d"], 0)]
