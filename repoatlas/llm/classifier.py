@@ -81,6 +81,19 @@ class Ftrl:
         self.n[at] += g * g
 
 
+def labelled_rows(docs: DataFrame, clean: DataFrame) -> DataFrame:
+    """One row for each id of ``clean(doc_id, order, label)`` with documents: of its texts the one
+    with the smallest hash, chosen in each task before the shuffle."""
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    return (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(clean), "doc_id")
+        .groupBy("doc_id", "order", "label")
+        .agg(first)
+        .select("doc_id", "order", "label", "first.text")
+    )
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
     """Weights from a sample of at most about ``rows`` labelled documents of the other folds.
 
@@ -101,8 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
         # Hashes are even over the signed 64 bits: the share below this bound is rows / total.
         bound = int((rows / total) * 2**64) - 2**63
         clean = clean.where(F.col("order") < F.lit(bound))
-    # A document that occurs in several rows counts once, whichever text the hash puts first.
-    sample = docs.select("doc_id", "text").join(F.broadcast(clean), "doc_id")
+    sample = labelled_rows(docs, clean)
 
     def extract(batches):
         for batch in batches:
@@ -120,14 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
     )
 
     def train(batches):
-        model, kept, seen = Ftrl(), [], set()
+        model, kept = Ftrl(), []
         for batch in batches:
-            for doc_id, label, value, raw in zip(
-                batch["doc_id"], batch["label"], batch["value"], batch["numbers"]
-            ):
-                if doc_id not in seen:
-                    seen.add(doc_id)
-                    kept.append((np.frombuffer(raw, "<u4").astype(np.int32), value, label))
+            for label, value, raw in zip(batch["label"], batch["value"], batch["numbers"]):
+                kept.append((np.frombuffer(raw, "<u4").astype(np.int32), value, label))
         for _ in range(PASSES):
             for example in kept:
                 model.update(*example)

@@ -162,3 +162,14 @@ def test_keep_one_loses_no_text_to_null_or_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = sorted((r.text, r.doc_id) for r in simhash.keep_one(docs).collect())
     assert kept == [(words["a"], None), (words["b"], None), (words["c"], 1), (words["d"], 0)]
+
+
+def test_repeats_of_a_labelled_row_do_not_reach_the_training_task(spark):
+    rows = [(i, f"text {k} of {i} " * (k % 7 + 1)) for i in range(20) for k in range(500 if i == 3 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    given = labels(spark, [(i, i % 2) for i in range(20)])
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    least = docs.groupBy("doc_id").agg(first).select("doc_id", "first.text")
+    assert (classifier.fit(docs, given) == classifier.fit(least, given)).all()
+    clean = given.withColumn("order", F.lit(1)).withColumnRenamed("quality", "label")
+    assert classifier.labelled_rows(docs, clean).count() == 20
