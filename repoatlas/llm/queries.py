@@ -10,11 +10,14 @@ from repoatlas.llm import (
     mixing,
     packing,
     quality_rules,
+    sharding,
     simhash,
     sql,
     token_files,
     unigram_counts,
+    vector_codes,
     warc,
+    whitening,
 )
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,6 +80,18 @@ def op10_language_scores(spark, sf_dir):
     return language_model.language_scores(documents(spark, sf_dir))
 
 
+def op11_whitened_embeddings(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_shuffled_shards(spark, sf_dir):
+    return sharding.shard_places(documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +105,9 @@ QUERIES = {
         op8_quality_classifier,
         op9_simhash_components,
         op10_language_scores,
+        op11_whitened_embeddings,
+        op12_shuffled_shards,
+        op13_vector_codes,
     )
 }
 
