@@ -181,4 +181,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Whole rows of the documents that are predicted to be good."""
-    return scored(docs, labels).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", "doc_id")
+    return scored(rows, labels).where(F.col("_score") >= THRESHOLD).select("row.*")

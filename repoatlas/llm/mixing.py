@@ -188,29 +188,26 @@ def mix_documents(docs: DataFrame, mix: Mix, size: Column, weight: Column) -> Da
     sources is all that the rows meet.
     """
     plan = boundaries(written(_keyed(docs, mix, size, weight), "mix-keys"), mix)
-    plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in ("s", "epochs", "last_key", "room")))
-    rows = docs.withColumn("_mix_size", size.cast("long")).withColumn(
-        "_mix_key", sampling_key(F.col("doc_id"), weight, mix.seed)
-    )
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_mix_s")))
-    key, wanted = F.col("_mix_key"), F.col("_mix_size")
-    part = (
-        F.when(key < F.col("_mix_last_key"), wanted)
-        .when(key == F.col("_mix_last_key"), F.least(wanted, F.col("_mix_room")))
-        .otherwise(0)
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("source"),
+        size.cast("long").alias("size"),
+        sampling_key(F.col("doc_id"), weight, mix.seed).alias("key"),
     )
-    rows = rows.withColumn("_mix_part", part.cast("long"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.withColumn("part", _last_part(F.col("key"), F.col("size")))
     takes = F.concat(
-        F.array_repeat(F.col("_mix_size"), F.col("_mix_epochs").cast("int")),
-        F.when(F.col("_mix_part") > 0, F.array("_mix_part")).otherwise(F.expr("array()").cast("array<bigint>")),
+        F.array_repeat(F.col("size"), F.col("epochs").cast("int")),
+        F.when(F.col("part") > 0, F.array("part")).otherwise(F.expr("array()").cast("array<bigint>")),
     )
-    rows = rows.withColumn("_mix_take", F.explode(takes))
-    cut = F.col("_mix_take") < F.col("_mix_size")
-    out = rows.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("_mix_take"))).otherwise(F.col("text")))
+    rows = rows.select("row", "size", F.explode(takes).alias("take"))
+    cut, text = F.col("take") < F.col("size"), F.col("row.text")
+    rows = rows.select("row", cut.alias("cut"), F.when(cut, first_words(text, F.col("take"))).otherwise(text).alias("text"))
+    given = {c: F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in docs.columns:
         chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(cut, chars).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        given["n_chars"] = F.when(F.col("cut"), chars).otherwise(given["n_chars"])
+    return rows.select(*(v.alias(c) for c, v in (given | {"text": F.col("text")}).items()))
 
 
 def first_words(text: Column, count: Column) -> Column:

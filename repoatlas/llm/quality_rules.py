@@ -54,13 +54,19 @@ def _has_word(line: Column) -> Column:
 
 def judged(docs: DataFrame) -> DataFrame:
     """The documents with a struct ``_rules``: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, clean_text.
+    n_repeat_words, base_failed, kept, clean_text. A column of that name is in the way: see
+    ``judged_rows``.
 
     Row-local throughout: nothing is shuffled, so hot sources and copies change nothing.
     Null and empty texts have no words, fail the base rules and are not kept. Lines without
     a word stay as they are. Null doc_ids and repeated rows are judged row by row; all
     columns pass through.
     """
+    return judged_rows(docs).select("_row.*", "_rules")
+
+
+def judged_rows(docs: DataFrame) -> DataFrame:
+    """``_row``, a struct of all columns, and ``_rules`` as ``judged`` gives them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
@@ -138,7 +144,7 @@ def judged(docs: DataFrame) -> DataFrame:
         F.array_join(F.filter("_all_lines", lambda x: ~_has_word(x) | ~line_fails(x)), "\n"),
     ).otherwise(F.array_join("_all_lines", "\n"))
     return rows.select(
-        "_row.*",
+        "_row",
         F.struct(
             F.col("_n_words").alias("n_words"),
             F.col("_word_chars").alias("word_chars"),
@@ -154,7 +160,9 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The kept documents without the lines that fail; ``n_chars``, where there is one, follows."""
-    kept = judged(docs).where("_rules.kept").withColumn("text", F.col("_rules.clean_text"))
+    kept = judged_rows(docs).where("_rules.kept")
+    text = F.col("_rules.clean_text")
+    given = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+        given["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(v.alias(c) for c, v in given.items()))

@@ -1,7 +1,5 @@
 """SimHash near-duplicates: every pair of fingerprints within a radius, compared in tiles."""
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +13,6 @@ RADIUS = 2
 # Fingerprints of a tile, about.
 TILE = 2048
 QUARTERS = 4
-# Of the pipeline's stage: words of a shingle, bits of 128 that similar texts may differ in,
-# and the share of shingles that near-duplicates have in common. That share makes fingerprints
-# differ in about 19 bits with a deviation of 4, chance in 64 with one of 6.
-STAGE_SHINGLE = 5
-STAGE_RADIUS = 36
-SIMILAR = 0.8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -228,186 +220,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     )
 
 
-def keep_one(
-    docs: DataFrame,
-    shingle: int = STAGE_SHINGLE,
-    radius: int = STAGE_RADIUS,
-    similar: float = SIMILAR,
-) -> DataFrame:
-    """Whole rows of one document of each group of near-duplicates: the one with the smallest
-    doc_id.
-
-    Texts are linked if they share at least ``similar`` of all their distinct shingles, which
-    is counted exactly for all pairs whose 128-bit fingerprints differ in at most ``radius``
-    bits; groups are what links connect. Texts with the same shingles, or without words, are
-    linked. Rows are told apart by a key that is written once with them, so null and
-    repeated ids lose nothing: of rows that share the smallest id one stays, and a row
-    without id stays only where no other row of its group has one.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Whole rows of one document of each component of ``near_duplicates``: the one with the
+    smallest doc_id.
+
+    Rows are told apart by a key that is written once with them, so null and repeated ids lose
+    nothing: of rows that share the smallest id one stays, and a row without id stays only
+    where no other row of its component has one. Texts without words are one component.
     """
     keyed = written(
         docs.select(
             F.monotonically_increasing_id().alias("key"),
             F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
-            _marks(docs["text"], shingle).alias("mark"),
         ),
         "keyed",
     )
-    # One node for each set of shingles: the smallest key that has it.
-    least = F.min(F.struct("key", "mark.fp", "mark.fp2", "mark.n")).alias("least")
-    nodes = keyed.groupBy("mark.shingles").agg(least)
-    nodes = written(
-        nodes.select(
-            "shingles", F.col("least.key").alias("node"), "least.fp", "least.fp2", "least.n"
-        ),
-        "nodes",
-    )
-    pairs = written(close_pairs(nodes.drop("shingles"), radius, similar), "close-pairs")
-    links = confirmed(pairs, keyed.select("key", "row.text"), shingle, similar)
-    roots = written(components(links), "roots").withColumnRenamed("node", "linked")
-    rooted = nodes.join(roots, nodes.node == roots.linked, "left").select(
-        "shingles", F.coalesce("root", "node").alias("root")
-    )
-    rows = keyed.select("key", F.col("row.doc_id").alias("doc_id"), "mark.shingles")
-    return _first_rows(keyed, rows.join(rooted, "shingles").select("key", "doc_id", "root"))
-
-
-def _marks(text: Column, shingle: int) -> Column:
-    """Of the set of distinct shingles: the two halves of the fingerprint, size and a digest.
-    Repeats do not count, as in the similarity."""
-
-    @F.pandas_udf("fp long, fp2 long, n long, shingles binary")
-    def run(texts):
-        import pandas as pd
-        import xxhash
-
-        fps, seconds, sizes, digests = [], [], [], []
-        for text in texts:
-            distinct = np.unique(shingle_hashes(text, shingle))
-            fps.append(_majority(distinct))
-            seconds.append(_majority(_mixed(distinct)))
-            sizes.append(len(distinct))
-            digests.append(xxhash.xxh3_128_digest(distinct.astype("<u8").tobytes()))
-        fps, seconds = (np.array(v, np.uint64).view(np.int64) for v in (fps, seconds))
-        return pd.DataFrame({"fp": fps, "fp2": seconds, "n": sizes, "shingles": digests})
-
-    return run(text)
-
-
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    """Other hashes of what the hashes stand for (the last steps of splitmix64)."""
-    mixed = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return mixed ^ (mixed >> np.uint64(31))
-
-
-def close_pairs(nodes: DataFrame, radius: int, similar: float, tile: int = 4 * TILE) -> DataFrame:
-    """All pairs (a, b) of ``nodes(node, fp, fp2, n)`` that differ in at most ``radius`` bits and
-    whose numbers of shingles allow the similarity.
-
-    Sets that share at least ``similar`` of their union differ in size by no larger factor,
-    so nodes are binned by the logarithm of their size and a bin meets only itself and the
-    next. Bins are cut by hash into tiles; a tile's own rows are held, the others stream
-    past in blocks. Empty sets are one node and have no pair.
-    """
-    step = -math.log(similar)
-    home = F.floor(F.log("n") / step).cast("int")
-    binned = nodes.where("n > 0").withColumn("home", home)
-    # One row a bin: some hundred at most.
-    sizes = written(binned.groupBy("home").count(), "bins").select(
-        "home", F.ceil(F.col("count") / tile).cast("int").alias("cuts")
-    )
-    own = binned.join(F.broadcast(sizes), "home").withColumn(
-        "cut", F.pmod(F.xxhash64("node", F.lit(1)), "cuts").cast("int")
-    )
-    own = written(own.select("node", "fp", "fp2", "n", "home", "cut"), "binned")
-    # A row goes to the tiles of its own bin from its own on, and to all of the bin below.
-    sent = (
-        own.withColumn("target", F.explode(F.array(F.col("home"), F.col("home") - 1)))
-        .join(F.broadcast(sizes.withColumnRenamed("home", "target")), "target")
-        .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .where("target <> home or c >= cut")
-        .select(
-            (F.col("target").cast("long") * (1 << 32) + F.col("c")).alias("tile"),
-            ((F.col("target") != F.col("home")) | (F.col("c") != F.col("cut"))).cast("int").alias("side"),
-            "node",
-            "fp",
-            "fp2",
-            "n",
-        )
-    )
 
-    def compare(batches):
-        tile, held = None, None
-        for batch in batches:
-            tiles, sides = np.array(batch["tile"], np.int64), np.array(batch["side"], np.int8)
-            rows = np.array([batch[c] for c in ("node", "fp", "fp2", "n")], np.int64)
-            starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]]) if len(tiles) else []
-            for low, high in zip(starts, [*starts[1:], len(tiles)]):
-                if tile != tiles[low]:
-                    tile, held = tiles[low], np.zeros((4, 0), np.int64)
-                part, side = rows[:, low:high], sides[low:high]
-                mine = part[:, side == 0]
-                yield from _close(mine, held, radius, similar)
-                yield from _close(mine, mine, radius, similar, True)
-                held = np.concatenate([held, mine], axis=1)
-                yield from _close(part[:, side == 1], held, radius, similar)
-
-    grouped = sent.repartition("tile").sortWithinPartitions("tile", "side")
-    return arrow_map(grouped, compare, "a long, b long")
-
-
-def _close(left, right, radius, similar, same=False):
-    """Pairs of columns (node, fp, fp2, n) of left and right, block by block."""
-    if not left.shape[1] or not right.shape[1]:
-        return
-    width = right.shape[1]
-    step = max(1, (1 << 18) // width)
-    for low in range(0, left.shape[1], step):
-        block = left[:, low : low + step]
-        first, second = (
-            np.bitwise_count((block[k][:, None] ^ right[k][None, :]).view(np.uint64)) for k in (1, 2)
-        )
-        bits = first + second
-        i, j = np.divmod(np.flatnonzero(bits.ravel() <= radius), width)
-        x, y = block[3, i], right[3, j]
-        keep = np.minimum(x, y) >= similar * np.maximum(x, y) - 1e-9
-        if same:
-            keep &= i + low < j
-        if keep.any():
-            yield {"a": block[0, i[keep]].tolist(), "b": right[0, j[keep]].tolist()}
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """The ``pairs(a, b)`` of keys of ``texts(key, text)`` that share at least ``similar`` of
-    their distinct shingles."""
-
-    def shingles(batches):
+    def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch["text"]]
-            yield {"key": batch["key"], "hashes": [s.astype("<u8").tobytes() for s in sets]}
+            values = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
+            yield {"key": batch["key"], "doc_id": batch["doc_id"], "fp": values.view(np.int64).tolist()}
 
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = written(
-        arrow_map(texts.join(needed, "key", "left_semi"), shingles, "key long, hashes binary"),
-        "shingles",
+    marks = arrow_map(
+        keyed.select("key", F.col("row.doc_id").cast("long").alias("doc_id"), "row.text"),
+        run,
+        "key long, doc_id long, fp long",
     )
-    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("left"))
-    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("right"))
-
-    def judge(batches):
-        for batch in batches:
-            good = []
-            for one, other in zip(batch["left"], batch["right"]):
-                x, y = np.frombuffer(one, "<u8"), np.frombuffer(other, "<u8")
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(common >= similar * (len(x) + len(y) - common) - 1e-9)
-            yield {c: [v for v, g in zip(batch[c], good) if g] for c in ("a", "b")}
-
-    return arrow_map(pairs.join(left, "a").join(right, "b"), judge, "a long, b long")
-
-
-def _first_rows(keyed: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The row of ``keyed(key, row)`` with the smallest id for each root of ``rooted``."""
+    # One row for each fingerprint: of its rows only the first can stay.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    stay = rooted.groupBy("root").agg(first).select(F.col("first.key").alias("key"))
+    distinct = written(marks.groupBy("fp").agg(first), "distinct")
+    roots = written(components(links(distinct.select("fp"), radius)), "roots")
+    stay = (
+        distinct.join(roots, distinct.fp == roots.node, "left")
+        .groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.key").alias("key"))
+    )
     return keyed.join(written(stay, "stay"), "key", "left_semi").select("row.*")

@@ -2,7 +2,10 @@
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that operators use inside.
-CLASH = "size long, key double, fp long, token string, _row string, label int, chunk_no int, s string"
+CLASH = (
+    "size long, key double, fp long, token string, _row string, label int, chunk_no int, s string,"
+    " _score double, _mix_key double, _mix_s string, take long, cut boolean, row string, slot long"
+)
 
 
 def rows():
@@ -36,7 +39,7 @@ def clashing(spark):
     frame = documents(spark)
     for field in CLASH.split(", "):
         name, kind = field.split()
-        frame = frame.withColumn(name, F.lit(None).cast(kind))
+        frame = frame.withColumn(name, F.lit(None if kind == "string" else 1).cast(kind))
     return frame
 
 

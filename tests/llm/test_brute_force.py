@@ -336,37 +336,29 @@ def test_pipeline_stages(spark):
     assert sum(p.length for p in pieces) == tokens
 
 
-def test_near_duplicates_stage_on_planted_edits(spark):
-    draw = random.Random(11)
-    rows, groups = [], 40
-    for g in range(groups):
-        words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice((60, 200, 900)))]
-        near, far = list(words), list(words)
-        # An edit changes five shingles: similarity about 0.86 and 0.6.
-        for at in draw.sample(range(len(words)), max(1, len(words) * 15 // 1000)):
-            near[at] = "edited"
-        for at in range(0, len(words), 20):
-            far[at] = "edited"
-        rows += [(3 * g + k, " ".join(w)) for k, w in enumerate((words, near, far))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    kept = {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, SF_DIR).collect()}
-    assert kept == {i for i in range(3 * groups) if i % 3 != 1}
-
-
-def test_near_duplicates_stage_against_all_pairs(spark, docs):
-    rows = [r.text for r in docs.select("text").collect()]
-    sets = {frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in rows}
-    sets = sorted((s for s in sets if s), key=len)
-    root = list(range(len(sets)))
+def test_near_duplicates_stage_keeps_one_of_each_component(spark, docs):
+    """One row stays for each class that op9 finds: the one with the smallest id."""
+    classes = simhash.near_duplicates(docs)
+    expected = Counter(r.component_id for r in classes.select("component_id").distinct().collect())
+    kept = corpus_pipeline.dedup_stage(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == expected
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
-                root[find(i)] = find(j)
-    expected = len({find(i) for i in range(len(sets))}) + 1  # texts without words
-    assert simhash.keep_one(docs).count() == expected
+def test_near_duplicates_stage_on_a_large_group(spark):
+    """Two thousand near copies are one class, linked by fewer edges than members."""
+    draw = random.Random(11)
+    words = [f"w{draw.randrange(5000)}" for _ in range(3000)]
+    rows = []
+    for n in range(2000):
+        near = list(words)
+        near[draw.randrange(len(near))] = f"edit{n}"
+        rows.append((n + 5, " ".join(near)))
+    rows += [(2, "another text altogether that stays"), (3, None), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    fps = simhash.fingerprints(docs).select("fp").distinct()
+    assert simhash.links(fps).count() < 4 * fps.count()
+    members = [r.doc_id for r in simhash.near_duplicates(docs).where("component_id = 5").collect()]
+    kept = [r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, SF_DIR).collect()]
+    assert sorted(kept) == sorted([2, 3, *({r[0] for r in rows if r[0] > 4} - set(members)), 5])
+    assert len(members) > 1900
