@@ -23,8 +23,8 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose texts share four fifths of their five-word shingles."""
-    return simhash.keep_one(docs)
+    """One document stays of each group that the fingerprints of op9 link."""
+    return simhash.keep_one(docs, simhash.SHINGLE, simhash.RADIUS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
