@@ -9,9 +9,11 @@ from repoatlas.llm.common import written
 from repoatlas.sources.workspace import new_dir
 
 SHARDS = 24
-# Bytes of texts in a bucket, about: what one task sorts and shuffles at a time.
-BUCKET_BYTES = 32 << 20
-# Tasks of the second pass; more buckets than that go to a task one after another.
+# Bytes of texts in a bucket, about.
+BUCKET_BYTES = 4 << 20
+# Buckets for each task of the second pass, on average: enough of them to come out even. Beyond
+# so many tasks, more.
+TASK_BUCKETS = 8
 MOST_TASKS = 100_000
 # Buckets whose counts one task sums up.
 BLOCK = 1024
@@ -87,7 +89,7 @@ def write_shards(docs: DataFrame, plan: Sharding = Sharding()) -> str:
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size_of(F.col("text"))), F.lit(0)).alias("bytes")
     ).first()
     buckets = max(1, -(-totals.bytes // plan.bucket_bytes))
-    tasks = min(buckets, MOST_TASKS)
+    tasks = min(-(-buckets // TASK_BUCKETS), MOST_TASKS)
     counts = _scattered(docs, plan, buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     orders = written(bucket_orders(counts, plan.seed, buckets), "bucket-orders")
     moved = _scattered(docs, plan, buckets).repartition(tasks, "bucket")
