@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,21 +91,27 @@ def _first_books(rows: DataFrame, shape: Codes, length: int) -> np.ndarray:
     return scaled(x, shape.parts).transpose(1, 0, 2)
 
 
-# Rows with their state, then rows with a task's members and sums of an entry.
+# Rows with their state, then rows with a task's members and sums of an entry. A vector is the
+# bytes of its numbers, which pass to Python without a step per number.
 STATE = (
-    "vec_id long, label string, vector array<{}>, codes binary, distances binary,"
+    "vec_id long, label string, vector binary, codes binary, distances binary,"
     " part int, entry int, members long, sums array<decimal(38,0)>"
 )
 
 
-def _round(table: DataFrame, books: np.ndarray, moved: np.ndarray | None, parts: int) -> DataFrame:
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    """Equally long byte strings as rows of a matrix."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, kind).reshape(len(column), -1)
+
+
+def _round(table: DataFrame, kind: str, books: np.ndarray, moved: np.ndarray | None, parts: int) -> DataFrame:
     """The rows with new codes and exact distances; after them, from each task, the members and
     sums of the entries.
 
     Vectors too large for 64-bit distances are compared with all entries in whole numbers of
     any size, and carry no distances.
     """
-    length = parts * books.shape[2]
     small = books.dtype != object and _small(books.reshape(-1, books.shape[2]).astype(float))
 
     def run(batches):
@@ -114,15 +121,17 @@ def _round(table: DataFrame, books: np.ndarray, moved: np.ndarray | None, parts:
             n = len(batch)
             if not n:
                 continue
-            x = scaled(matrix(batch.column("vector"), length), parts)
+            given = batch.column("vector")
+            packed = pa.types.is_binary(given.type)
+            vectors = _unpacked(given, kind) if packed else matrix(given, parts * books.shape[2])
+            x = scaled(vectors, parts)
             exact = small and x.dtype != object
             code = np.zeros((n, parts), np.uint8)
             distance = np.zeros((n, parts), np.int64 if exact else object)
-            old = batch.column("distances")
-            if moved is not None and exact and old.null_count == 0:
-                code = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8)
-                code = code.reshape(n, parts).copy()
-                distance = np.frombuffer(b"".join(old.to_pylist()), "<i8").reshape(n, parts).copy()
+            old = None if moved is None else batch.column("distances")
+            if old is not None and exact and old.null_count == 0:
+                code = _unpacked(batch.column("codes"), "u1").copy()
+                distance = _unpacked(old, "<i8").astype(np.int64)
                 for p in range(parts):
                     mine, near = code[:, p].copy(), distance[:, p].copy()
                     advance(x[:, p], books[p], moved[p], mine, near)
@@ -138,7 +147,7 @@ def _round(table: DataFrame, books: np.ndarray, moved: np.ndarray | None, parts:
             yield {
                 "vec_id": batch.column("vec_id"),
                 "label": batch.column("label"),
-                "vector": batch.column("vector"),
+                "vector": given if packed else [v.tobytes() for v in vectors],
                 "codes": [c.tobytes() for c in code],
                 "distances": [d.astype("<i8").tobytes() for d in distance] if exact else [None] * n,
                 "part": [None] * n,
@@ -156,8 +165,7 @@ def _round(table: DataFrame, books: np.ndarray, moved: np.ndarray | None, parts:
             "sums": [[Decimal(int(s)) for s in sums[p, e]] for p, e in used],
         }
 
-    kind = table.schema["vector"].dataType.elementType.simpleString()
-    return map_blocks(table, run, STATE.format(kind))
+    return map_blocks(table, run, STATE)
 
 
 def _moved_books(table: DataFrame, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,33 +213,27 @@ def compress(embeddings: DataFrame, shape: Codes = Codes()) -> tuple[DataFrame,
     """
     spark = embeddings.sparkSession
     rows, length = usable_vectors(embeddings, shape.parts)
-    kind = embeddings.schema["embedding"].dataType.elementType.simpleString()
+    single = embeddings.schema["embedding"].dataType.elementType.simpleString() == "float"
+    kind = "f4" if single else "f8"
     rows = rows.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("label").cast("string").alias("label") if "label" in embeddings.columns
         else F.lit(None).cast("string").alias("label"),
-        F.transform("embedding", lambda c: c if kind == "float" else c.cast("double")).alias("vector"),
+        F.transform("embedding", lambda c: c if single else c.cast("double")).alias("vector"),
     )
     out = "vec_id long, label string, code string, error long"
     books = _first_books(rows, shape, length) if length else np.zeros((shape.parts, 0, 0), np.int64)
     if not books.size:
         return spark.createDataFrame([], out), books
-    start = rows.select(
-        "vec_id",
-        "label",
-        "vector",
-        *(F.lit(None).cast(t).alias(n) for n, t in (("codes", "binary"), ("distances", "binary"))),
-    )
-    table, path = _saved(_round(start, books, None, shape.parts))
+    table, path = _saved(_round(rows, kind, books, None, shape.parts))
     for _ in range(shape.rounds):
         books, moved = _moved_books(table, books)
         if not moved.any():
             break  # nothing can change any more
         before = path
-        table, path = _saved(_round(table.where("part is null"), books, moved, shape.parts))
+        table, path = _saved(_round(table.where("part is null"), kind, books, moved, shape.parts))
         _drop(spark, before)
     final = table.where("part is null")
-    length_of_part = books.shape[2]
 
     def finish(batches):
         for batch in batches:
@@ -242,7 +244,7 @@ def compress(embeddings: DataFrame, shape: Codes = Codes()) -> tuple[DataFrame,
                     errors.append(int(np.frombuffer(raw, "<i8").astype(object).sum()))
                     continue
                 if x is None:
-                    x = scaled(matrix(batch.column("vector"), shape.parts * length_of_part), shape.parts)
+                    x = scaled(_unpacked(batch.column("vector"), kind), shape.parts)
                 one = [nearest(x[i : i + 1, p].astype(object), books[p].astype(object))[1][0] for p in range(shape.parts)]
                 errors.append(sum(int(d) for d in one))
             yield {
