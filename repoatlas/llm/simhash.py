@@ -256,4 +256,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
         .agg(F.min("first").alias("first"))
         .select(F.col("first.key").alias("key"))
     )
-    return keyed.join(written(stay, "stay"), "key", "left_semi").select("row.*")
+    # The list of those who stay grows with the rows: whole rows meet it by one shuffle, at every
+    # size.
+    return keyed.join(written(stay, "stay").hint("merge"), "key", "left_semi").select("row.*")
