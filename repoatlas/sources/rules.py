@@ -37,29 +37,70 @@ def effective_rules(
 
 
 def folded_rules(rules: DataFrame) -> DataFrame:
-    """One row a repository: its include and exclude rules as arrays.
+    """One row a repository: an index of its include and exclude rules.
 
-    A null pattern is an explicitly empty list: it keeps the defaults out and accepts nothing.
+    Most rules say only how a path starts and ends, or what it holds: these are lists of texts.
+    The others are kept as compiled, and come last. A null pattern is an explicitly empty list:
+    it keeps the defaults out and accepts nothing.
     """
-    prefix, regex = globs.rule_columns(F.col("pattern"))
-    compiled = rules.select("repo", "kind", "pattern", F.struct(prefix.alias("prefix"), regex.alias("regex")).alias("rule"))
+    rule = F.col("rule")
+    simple = rule["exact"].isNull() & rule["pieces"].isNull() & (rule["head"] == "")
+    middle = F.size(rule["between"])
+    compiled = rules.where("pattern is not null").select(
+        "repo", "kind", globs.compiled_rule(F.col("pattern")).alias("rule")
+    )
+    compiled = compiled.withColumn(
+        "form",
+        F.when(simple & (middle == 0), F.lit("ends"))
+        .when(simple & (middle == 1) & (rule["tail"] == ""), F.lit("holds"))
+        .otherwise(F.lit("other")),
+    )
 
     def side(kind):
-        wanted = (F.col("kind") == kind) & F.col("pattern").isNotNull()
-        return F.collect_list(F.when(wanted, F.col("rule")))
+        def those(form, value):
+            wanted = (F.col("kind") == kind) & (F.col("form") == form)
+            return F.collect_list(F.when(wanted, value)).alias(form)
+
+        return F.struct(
+            those("ends", F.struct(rule["prefix"].alias("prefix"), rule["tail"].alias("text"))),
+            those("holds", F.struct(rule["prefix"].alias("prefix"), rule["between"][0].alias("text"))),
+            those("other", rule),
+        )
 
-    return compiled.groupBy(F.col("repo").alias("rule_repo")).agg(
-        side("include").alias("includes"), side("exclude").alias("excludes")
+    lists = compiled.groupBy("repo").agg(side("include").alias("include"), side("exclude").alias("exclude"))
+    repos = rules.select(F.col("repo").alias("rule_repo")).distinct()
+    return repos.join(lists, F.col("repo") == F.col("rule_repo"), "left").select(
+        "rule_repo",
+        *(
+            F.coalesce(f"{kind}.{form}", F.array().cast(_list_type(lists, kind, form))).alias(f"{kind}_{form}")
+            for kind in KINDS
+            for form in FORMS
+        ),
     )
 
 
+KINDS, FORMS = ("include", "exclude"), ("ends", "holds", "other")
+
+
+def _list_type(lists: DataFrame, kind: str, form: str):
+    return lists.schema[kind].dataType[form].dataType
+
+
 def _selected():
-    def hit(rules):
-        return F.exists(
-            rules, lambda r: F.col("path").startswith(r["prefix"]) & F.rlike("path", r["regex"])
+    path = F.col("path")
+
+    def starts(r):
+        # An empty prefix is what most rules have.
+        return (r["prefix"] == "") | path.startswith(r["prefix"])
+
+    def hit(kind):
+        return (
+            F.exists(f"{kind}_ends", lambda r: path.endswith(r["text"]) & starts(r))
+            | F.exists(f"{kind}_holds", lambda r: path.contains(r["text"]) & starts(r))
+            | F.exists(f"{kind}_other", lambda r: globs.rule_hits(path, r))
         )
 
-    return hit("includes") & ~hit("excludes")
+    return hit("include") & ~hit("exclude")
 
 
 def filter_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -73,6 +114,6 @@ def filter_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     same = F.col("repo") == F.col("rule_repo")
     if folded.count() <= BROADCAST_REPOS:
         joined = files.join(F.broadcast(folded), same).where(_selected())
-        return joined.drop("rule_repo", "includes", "excludes")
+        return joined.select(*(joined[c] for c in files.columns))
     narrow = files.select("repo", "path").join(folded, same).where(_selected())
     return files.join(narrow.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
