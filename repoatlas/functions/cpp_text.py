@@ -1,9 +1,9 @@
 """Lexical expressions over C and C++ text.
 
-The text is cut into lexemes with one possessive regular expression, literals and
-comments are neutralised, and what is left is cut into segments that end at a brace,
-a semicolon or an access label. Line numbers travel inside the text as marks, so no
-running sum over segments is needed. Everything is row-local: no shuffle.
+Lines are numbered by marks in the text, so no running sum over segments is needed. One
+pattern takes comments and directives out and steps over literals; those are hidden, and
+what is left is cut into segments that end at a brace, a semicolon or an access label.
+Everything is row-local: no shuffle.
 """
 
 from pyspark.sql import Column
@@ -12,26 +12,39 @@ from pyspark.sql import functions as F
 # Mark of a line number: \x01 number \x02. Segments are cut at \x03.
 _M0, _M1, _CUT = "\x01", "\x02", "\x03"
 MARK = r"\x01\d+\x02"
-_BLOCK = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
-_STRING = r'"(?:[^"\\\n]++|\\\r?\n|\\[^\n])*+"'
-_RAW = r'(?:u8|[uUL])?R"([^()\\\s]{0,16})\((?s:.)*?\)\1"'
-_DIRECTIVE = (
-    r"(?<![^\n])[ \t]*+#(?:[^\n\\/\"]++|" + _STRING + r"|\"|\\\r?\n|\\|/(?![/*])|" + _BLOCK + r")*+"
+# Literals keep their text in a private-use area, out of reach of the patterns below.
+_PLAIN = "\x01\x02" + "".join(map(chr, range(0x20, 0x7F)))
+_HIDDEN = "".join(chr(0xE000 + ord(c)) for c in _PLAIN)
+
+# The last mark within a token is a group, so that the line of what follows is known.
+_IN_BLOCK = r"(?:[^*\x01]++|(\x01\d++\x02)|\x01|\*(?!/))*+(?:\*/)?"
+_STRING = r'"(?:[^"\\\n\x01]++|(\x01\d++\x02)|\x01|\\\n|\\[^\n])*+"'
+_RAW = (
+    r'(?:(?<!\w)|(?<=(?<!\w)u8)|(?<=(?<!\w)[uUL]))R"([^()\\\s]{0,16})\('
+    r'(?:[^\x01]|(\x01\d++\x02)|\x01)*?\)\GROUP"'
 )
-_LINE_COMMENT = r"//(?:[^\n\\]++|\\\r?\n|\\)*+"
 _CHAR = r"'(?:[^'\\\n]++|\\[^\n])*+'"
-# A run of code without literals, comments and directives, over as many lines as it goes.
-_PLAIN = (
-    r"(?:[A-KM-QSTV-Za-tv-z_]\w*+|(?!(?:u8|[uUL])?R\")[LRUu]\w*+|[^\w\n\"'/]++|"
-    r"\n(?![ \t]*+#)|[0-9](?:'?[\w.])*+|/(?![/*]))++"
+_LINE_COMMENT = r"//(?:[^\n\\]++|\\\n|\\)*+"
+
+
+def _no_groups(pattern: str) -> str:
+    return pattern.replace(r"(\x01", r"(?:\x01")
+
+
+_BLOCK = r"/\*" + _no_groups(_IN_BLOCK)
+_DIRECTIVE = (
+    r"(?<=\x02)[ \t]*+#(?:[^\n\\/\"]++|" + _no_groups(_STRING) + r"|\"|\\\n|\\|/(?![/*])|" + _BLOCK + r")*+"
 )
-_LEXEME = "|".join(
-    (_DIRECTIVE, _PLAIN, _STRING, _LINE_COMMENT, _BLOCK, _CHAR, _RAW, r"(?s:.)")
+# Group 1 is a literal, 5 the start of a comment; 3, 4 and 6 are the last marks of raw
+# strings, strings and comments. Few characters are one that a token starts with.
+_TOKEN = (
+    r"(?=[\"'/R# \t])(?:(" + _RAW.replace("GROUP", "2") + "|" + _STRING + "|" + _CHAR + r")|(/\*)"
+    + _IN_BLOCK + "|" + _LINE_COMMENT + "|" + _DIRECTIVE + ")"
 )
-
-# Literals keep their text in a private-use area, out of reach of the patterns below.
-_ASCII = "".join(map(chr, range(0x20, 0x7F)))
-_HIDDEN = "".join(chr(0xE000 + c) for c in range(0x20, 0x7F))
+_LITERAL = _no_groups(_RAW.replace("GROUP", "1") + "|" + _STRING + "|" + _CHAR)
+_PIECE = _LITERAL + r"|(?:[^\"'R]++|R(?!\"))++|(?s:.)"
+# A quote within a number, outside of what follows a letter.
+_DIGIT_QUOTE = r"((?:(?<![\w.])[0-9]|\G(?!\A))[\w.]*+)'(?=\w)"
 
 _WORD = r"[A-Za-z_]\w*+"
 
@@ -78,11 +91,7 @@ _STATEMENT = r"(?s)\b(?:return|else|case|new|throw|goto|do|typedef|using|namespa
 _TEMPLATE = rf"(?:template\s*+{_ANGLE}|requires\s*+{_PAREN}|friend\b|extern\s*+[^\w\s]*+?)"
 _LEAD = rf"(?s)\A(?:\s|{MARK}|{_TEMPLATE})*+"
 
-# Where a mark goes: after a segment end, before a class keyword.
-_PLACES = (
-    r"([{};]|(?=p[ur])(?<!\w)(?:public|protected|private)\b(?:[ \t]++\w++)?[ \t]*+:(?!:))"
-    r"|(?=class\b|struct\b)(?<!\w)"
-)
+_LABEL = r"(?<!\w)((?:public|protected|private)\b(?:[ \t]++\w++)?[ \t]*+:(?!:))"
 _CLASS_HEAD = (
     rf"(?s)({MARK})(class|struct)\b((?:\s|{MARK}|{_ATTR}|{_WORD}(?=\s++[A-Za-z_])(?!\s++final\s*+(?:[:{{]|\z)))*+)"
     rf"({_WORD}(?:\s*+::\s*+{_WORD})*+(?:\s*+{_ANGLE})?+)?+((?:\s|{MARK})*+(?:final\b)?(?:\s|{MARK})*+"
@@ -94,32 +103,47 @@ _MENTION = (
 )
 
 
-def lexemes(text: Column) -> Column:
-    """Lexemes in order; together they are the whole text."""
-    return F.regexp_extract_all(
-        F.regexp_replace(F.regexp_replace(text, "[\x01-\x03]", " "), "\r\n", "\n"),
-        F.lit(_LEXEME),
-        F.lit(0),
+def marked(text: Column) -> Column:
+    """The text with a mark at the start of each line."""
+    clean = F.replace(F.translate(text, _M0 + _M1 + _CUT, "   "), F.lit("\r\n"), F.lit("\n"))
+    return F.array_join(
+        F.transform(
+            F.split(clean, "\n"),
+            lambda line, i: F.concat(F.lit(_M0), (i + 1).cast("string"), F.lit(_M1), line),
+        ),
+        "\n",
     )
 
 
-def _is_directive(lexeme: Column) -> Column:
-    return lexeme.rlike(r"\A[ \t]*+#")
-
-
 def include_texts(text: Column) -> Column:
     """What follows each ``#include``, with its brackets or quotes."""
+    # Files without the word are not searched at all.
+    return F.when(text.contains("include"), includes_of(marked(text))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def includes_of(marked_text: Column) -> Column:
+    """``include_texts`` of a text that ``marked`` gave."""
     pattern = (
-        r"(?s)\A[ \t]*+#[ \t]*+include(?=[ \t<\"/])(?:[ \t]|" + _BLOCK + r"|\\\r?\n)*+"
-        r"(<[^>\n]*+>|" + _STRING + r"|[A-Za-z_][^\n/]*+)"
+        r"(?s)\A[ \t]*+#[ \t]*+include(?=[ \t<\"/])(?:[ \t]|" + _BLOCK + r"|\\\n(?:" + MARK + ")?+)*+"
+        r"(<[^>\n]*+>|" + _no_groups(_STRING) + r"|[A-Za-z_][^\n/]*+)"
     )
+    tokens = F.regexp_extract_all(_quoted_digits(marked_text), F.lit(_TOKEN), F.lit(0))
     found = F.transform(
-        F.filter(lexemes(text), _is_directive),
+        F.filter(tokens, lambda t: t.contains("#") & t.rlike(r"\A[ \t]*+#")),
         lambda d: F.regexp_replace(F.regexp_extract(d, pattern, 1), r"\s++\z", ""),
     )
-    # Files without the word are not cut into lexemes at all.
-    return F.when(text.contains("include"), F.filter(found, lambda t: t != "")).otherwise(
-        F.array().cast("array<string>")
+    return F.when(
+        marked_text.contains("include"), F.transform(F.filter(found, lambda t: t != ""), shown)
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def include_names(include_text_list: Column) -> Column:
+    """Array of (name, is_system) of what ``include_texts`` gives."""
+    return F.transform(
+        include_text_list,
+        lambda t: F.struct(include_name(t).alias("name"), include_is_system(t).alias("is_system")),
     )
 
 
@@ -131,82 +155,175 @@ def include_name(include_text: Column) -> Column:
     return F.btrim(include_text, F.lit('<>"'))
 
 
-def _newlines(lexeme: Column) -> Column:
-    return F.regexp_replace(lexeme, "[^\n]++", "")
+def _quoted_digits(text: Column) -> Column:
+    """Quotes between digits hidden, so that they start no literal."""
+    return F.when(
+        text.contains("'") & text.rlike(r"[0-9A-Fa-f]'[0-9A-Fa-f]"),
+        F.regexp_replace(text, _DIGIT_QUOTE, "$1" + _hide("'")),
+    ).otherwise(text)
 
 
-def neutral_text(text: Column) -> Column:
-    """Text without comments and directives, with literals hidden, same line count."""
+def neutral_text(marked_text: Column) -> Column:
+    """Marked text without comments and directives, with literals hidden."""
+    bare = F.regexp_replace(_quoted_digits(marked_text), _TOKEN, "$1$3$4$5$6")
 
-    def blank(lexeme):
-        return (
-            F.when(_is_directive(lexeme), _newlines(lexeme))
-            .when(
-                lexeme.startswith("//") | lexeme.startswith("/*"),
-                F.concat(F.lit(" "), _newlines(lexeme)),
-            )
-            .when(
-                lexeme.rlike(r"\A(?:(?:u8|[uUL])?R)?[\"'](?s:.)"),
-                F.translate(lexeme, _ASCII, _HIDDEN),
-            )
-            .otherwise(lexeme)
-        )
+    def hidden(piece):
+        return F.when(
+            piece.rlike(r"\AR?[\"'](?s:.)"), F.translate(piece, _PLAIN, _HIDDEN)
+        ).otherwise(piece)
 
-    joined = F.array_join(F.transform(lexemes(text), blank), "")
+    def without_literals(bare):
+        pieces = F.regexp_extract_all(bare, F.lit(_PIECE), F.lit(0))
+        return F.when(
+            bare.contains('"') | bare.contains("'"), F.array_join(F.transform(pieces, hidden), "")
+        ).otherwise(bare)
+
+    # Of a comment its start is left, which no other code holds.
+    spaced = F.replace(_let(bare, without_literals), F.lit("/*"), F.lit(" "))
     # A braced member initialiser is not a scope.
-    return F.regexp_replace(
-        joined,
-        rf"(?<=[:,])(\s*+{_WORD}(?:\s*+::\s*+{_WORD})*+(?:{_ANGLE})?+\s*+)\{{([^{{}};]*+)\}}(?=\s*+[,{{])",
-        "$1$2",
+    gap = rf"(?:\s|{MARK})*+"
+    return _let(
+        spaced,
+        lambda t: F.when(
+            t.rlike(rf"\}}{gap}[,{{]"),
+            F.regexp_replace(
+                t,
+                rf"(?<=[:,])({gap}{_WORD}(?:\s*+::\s*+{_WORD})*+(?:{_ANGLE})?+{gap})\{{([^{{}};]*+)\}}(?={gap}[,{{])",
+                "$1$2",
+            ),
+        ).otherwise(t),
     )
 
 
 def shown(text: Column) -> Column:
     """Undo the hiding of literals and drop the line marks."""
-    return F.translate(F.regexp_replace(text, MARK, ""), _HIDDEN, _ASCII)
+    return F.regexp_replace(F.translate(text, _HIDDEN, _PLAIN), MARK, "")
+
 
+# Pieces that a running text is built from before it joins the others.
+_STRIDE = 128
 
-def _hide_nested(text: Column, opening: str, closing: str, barred: str, depth: int) -> Column:
-    """Hides the brackets of groups within groups, innermost first, until none is left.
 
-    Only texts with more opening brackets than the patterns can nest are changed. Each step
-    hides a group in every group that holds one, so as many steps as brackets are enough.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once for all of its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _hide(chars: str) -> str:
+    return "".join(chr(0xE000 + ord(c)) for c in chars)
+
+
+def _hide_nested(text: Column, opening: str, closing: str, depth: int) -> Column:
+    """Hides the brackets within brackets; only texts with more than ``depth`` opening ones.
+
+    One pass with a depth counter: the text is cut behind each bracket into pieces, those are
+    taken in strides, the depth before a stride follows from what the strides before it leave
+    open, and within a stride text and depth run along. The work grows with the length.
     """
-    within = rf"({opening}[^{barred}]*+){opening}([^{barred}]*+){closing}"
-    hidden = [chr(0xE000 + ord(c[-1])) for c in (opening, closing)]
-    count = F.length(text) - F.length(F.replace(text, F.lit(opening[-1]), F.lit("")))
-    steps = F.sequence(F.lit(1), count)
-    # The possessive run before the inner bracket ends at the first bracket, so only groups
-    # without brackets of their own are taken.
-    flat = F.aggregate(
-        steps, text, lambda t, _: F.regexp_replace(t, within, f"$1{hidden[0]}$2{hidden[1]}")
+    both = opening + closing
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)[^{both}]*+[{both}]|.++"), F.lit(0))
+
+    def step(piece):
+        return F.when(piece.endswith(opening), 1).when(piece.endswith(closing), -1).otherwise(0)
+
+    def hidden(piece):
+        return F.concat(
+            F.substring(piece, F.lit(1), F.length(piece) - 1),
+            F.translate(F.right(piece, F.lit(1)), both, _hide(both)),
+        )
+
+    def move(so_far, piece):
+        total = so_far["total"] + step(piece)
+        return F.struct(total.alias("total"), F.least(so_far["low"], total).alias("low"))
+
+    def depth_before(moves, i):
+        # A closing bracket without an opening one leaves the depth at zero.
+        return F.aggregate(
+            F.slice(moves, F.lit(1), i),
+            F.lit(0),
+            lambda d, m: F.greatest(d + m["total"], m["total"] - m["low"]),
+        )
+
+    def add(so_far, piece):
+        after = F.greatest(so_far["depth"] + step(piece), F.lit(0))
+        inner = (F.least(so_far["depth"], after) > 0) & (step(piece) != 0)
+        return F.struct(
+            after.alias("depth"),
+            F.concat(so_far["text"], F.when(inner, hidden(piece)).otherwise(piece)).alias("text"),
+        )
+
+    def fold(strides, moves):
+        return F.transform(
+            strides,
+            lambda stride, i: F.aggregate(
+                stride,
+                F.struct(depth_before(moves, i).alias("depth"), F.lit("").alias("text")),
+                add,
+                lambda state: state["text"],
+            ),
+        )
+
+    def in_strides(pieces):
+        starts = F.sequence(F.lit(1), F.size(pieces), F.lit(_STRIDE))
+        return F.transform(starts, lambda at: F.slice(pieces, at, F.lit(_STRIDE)))
+
+    def moves_of(strides):
+        still = F.struct(F.lit(0).alias("total"), F.lit(0).alias("low"))
+        return F.transform(strides, lambda stride: F.aggregate(stride, still, move))
+
+    folded = _let(
+        _let(pieces, in_strides),
+        lambda strides: _let(moves_of(strides), lambda moves: F.array_join(fold(strides, moves), "")),
     )
-    return F.when(count > depth, flat).otherwise(text)
+    count = F.length(text) - F.length(F.replace(text, F.lit(opening), F.lit("")))
+    return F.when(count > depth, folded).otherwise(text)
 
 
 def shallow(segment: Column) -> Column:
     """A segment whose brackets nest no deeper than the header patterns follow them."""
-    return _hide_nested(
-        _hide_nested(segment, r"\(", r"\)", "()", _PAREN_DEPTH), "<", ">", "<>;{}", _ANGLE_DEPTH
+    return _let(
+        _hide_nested(segment, "(", ")", _PAREN_DEPTH),
+        lambda flat: _hide_nested(flat, "<", ">", _ANGLE_DEPTH),
     )
 
 
 def segments(text: Column) -> Column:
+    return segments_of(marked(text))
+
+
+def segments_of(marked_text: Column) -> Column:
     """Segments ending at a brace, a semicolon or an access label, and the rest.
 
     Every segment starts with a line mark; others stand at line starts and before
     class keywords.
     """
-    neutral = neutral_text(text)
-    neutral = F.regexp_replace(neutral, r"(enum|friend)[ \t]++(?:class|struct)\b", "$1")
 
-    def mark_line(line, i):
-        mark = F.concat(F.lit(_M0), (i + 1).cast("string"), F.lit(_M1))
-        return F.concat(mark, F.regexp_replace(line, _PLACES, F.concat(F.lit("$1"), mark)))
-
-    return F.split(
-        F.array_join(F.transform(F.split(neutral, "\n"), mark_line), "\n"), r"(?<=[{};:])(?=\x01)"
-    )
+    def keywords(neutral):
+        return F.when(
+            neutral.contains("enum") | neutral.contains("friend"),
+            F.regexp_replace(neutral, r"(enum|friend)[ \t]++(?:class|struct)\b", "$1"),
+        ).otherwise(neutral)
+
+    def cut(line):
+        """A line, or the rest of one, behind its own mark without the first character."""
+        mark = F.concat(F.lit(_M0), F.substring_index(line, _M1, 1), F.lit(_M1))
+        end = F.concat(F.lit(_CUT), mark)
+        out = F.concat(F.lit(_M0), line)
+        for brace in "{};":
+            out = F.replace(out, F.lit(brace), F.concat(F.lit(brace), end))
+        out = F.when(
+            line.contains("public") | line.contains("protected") | line.contains("private"),
+            F.regexp_replace(out, _LABEL, F.concat(F.lit("$1"), end)),
+        ).otherwise(out)
+        return F.when(
+            line.contains("class") | line.contains("struct"),
+            F.regexp_replace(out, r"(?=class\b|struct\b)(?<!\w)", mark),
+        ).otherwise(out)
+
+    lines = F.split(_let(neutral_text(marked_text), keywords), _M0)
+    # The text starts with a mark: what is before it is empty.
+    marked = F.transform(F.slice(lines, F.lit(2), F.size(lines)), cut)
+    return F.split(F.array_join(marked, ""), _CUT)
 
 
 # Segments that matter for symbols: scopes, labels, named class heads without a body,
@@ -215,7 +332,10 @@ def segment_matters(segment: Column) -> Column:
     return (
         F.right(segment, F.lit(1)).isin("{", "}", ":")
         | has_class_word(segment)
-        | segment.rlike(r"=\s*+(?:default|delete)\s*+;\z")
+        | (
+            (segment.contains("default") | segment.contains("delete"))
+            & segment.rlike(r"=\s*+(?:default|delete)\s*+;\z")
+        )
     )
 
 
@@ -224,15 +344,17 @@ def has_class_word(segment: Column) -> Column:
 
 
 def last_line(segment: Column) -> Column:
-    return F.regexp_extract(segment, r"(?s)\A.*\x01(\d+)\x02", 1).try_cast("int")
+    return F.substring_index(F.substring_index(segment, _M0, -1), _M1, 1).try_cast("int")
+
+
+def first_line(segment: Column) -> Column:
+    return F.substring(F.substring_index(segment, _M1, 1), F.lit(2), F.length(segment)).try_cast("int")
 
 
 def last_code_line(segment: Column) -> Column:
     """Line of the last code character, or where the segment starts if it has none."""
     code = F.regexp_replace(segment, rf"(?s)(?:\s|{MARK})++\z", "")
-    return F.when(
-        code == "", F.regexp_extract(segment, r"\A\x01(\d+)", 1).try_cast("int")
-    ).otherwise(last_line(code))
+    return F.when(code == "", first_line(segment)).otherwise(last_line(code))
 
 
 def delimiter(segment: Column) -> Column:

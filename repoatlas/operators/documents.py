@@ -8,7 +8,7 @@ from repoatlas.functions import paths, text
 from repoatlas.operators.graph import related
 from repoatlas.operators.grouping import ordered_items, ordered_text
 from repoatlas.operators.structures import structure_text
-from repoatlas.settings import PART_ROWS
+from repoatlas.settings import PART_BYTES
 
 _MODULE = ["repo", "module"]
 
@@ -53,41 +53,41 @@ def fallback_text(module: Column, module_path: Column, file_list: Column, n_file
     )
 
 
-def file_list_text(run_files: DataFrame, limit: int = PART_ROWS) -> DataFrame:
+def file_list_text(run_files: DataFrame, budget: int = PART_BYTES) -> DataFrame:
     line = F.concat(F.lit("- "), paths.base_name(F.col("path")))
-    return ordered_text(run_files, _MODULE, ["path"], line, "\n", limit=limit)
+    return ordered_text(run_files, _MODULE, ["path"], line, "\n", budget=budget)
 
 
 def structure_summary(
-    run_files: DataFrame, structures: DataFrame, limit: int = PART_ROWS
+    run_files: DataFrame, structures: DataFrame, budget: int = PART_BYTES
 ) -> DataFrame:
-    """Structure text per module; modules are sized from the narrow file table."""
+    """Structure text per module."""
     rows = run_files.select("repo", "path", "module").join(
         structures.select("repo", "path", structure_text().alias("block")), ["repo", "path"]
     )
-    sizes = run_files.groupBy(*_MODULE).agg(F.count(F.lit(1)).alias("n"))
-    return ordered_text(rows, _MODULE, ["path"], F.col("block"), "\n", sizes, limit)
+    return ordered_text(rows, _MODULE, ["path"], F.col("block"), "\n", budget)
 
 
 def module_prompts(
-    run_files: DataFrame, structures: DataFrame, limit: int = PART_ROWS
+    run_files: DataFrame, structures: DataFrame, budget: int = PART_BYTES
 ) -> DataFrame:
     """prompts(repo, module, part, module_path, n_files, prompt, prompt_hash, fallback).
 
     Files and structures are gathered in one grouping. A module has one prompt, whatever
-    its size; beyond ``limit`` files its lists are ordered in parts and then joined.
+    its size; beyond ``budget`` bytes its lists are ordered in parts and then joined.
     """
     rows = run_files.select("repo", "path", "module", "module_path").join(
         structures.select("repo", "path", structure_text().alias("block")), ["repo", "path"], "left"
     )
-    sizes = run_files.groupBy(*_MODULE).agg(F.count(F.lit(1)).alias("n"))
+    lengths = (F.octet_length(c) for c in ("path", "module_path", "block"))
+    size = sum((F.coalesce(n, F.lit(0)) for n in lengths), F.lit(0))
     items = ordered_items(
         rows,
         _MODULE,
         ["path"],
         F.struct(paths.base_name(F.col("path")).alias("name"), "module_path", "block"),
-        sizes,
-        limit,
+        size,
+        budget,
     )
     listed = items.select(
         *_MODULE,
@@ -173,14 +173,14 @@ def related_lines(edges: DataFrame, run_modules: DataFrame) -> DataFrame:
     return heading.unionByName(frames).unionByName(links).unionByName(lonely)
 
 
-def related_sections(edges: DataFrame, run_modules: DataFrame, limit: int = PART_ROWS) -> DataFrame:
+def related_sections(edges: DataFrame, run_modules: DataFrame, budget: int = PART_BYTES) -> DataFrame:
     return ordered_text(
         related_lines(edges, run_modules),
         _MODULE,
         ["block", "item"],
         F.col("line"),
         "\n",
-        limit=limit,
+        budget=budget,
     )
 
 
@@ -290,10 +290,11 @@ def last_marker_lines(docs: DataFrame, marker: str) -> DataFrame:
     )
 
 
+# The headings.
 OVERVIEW_HEAD = (
     "# Code Map Overview",
     "",
-    "This document provides a high-level overview of the codebase architecture.",
+    "How the modules of this code base fit together, drawn up from their own documents.",
     "",
     "## Module Dependency Graph",
     "",
@@ -359,7 +360,7 @@ def overview_lines(docs: DataFrame) -> DataFrame:
     return per_repo.unionByName(per_category).unionByName(per_doc)
 
 
-def overviews(docs: DataFrame, run_ts: Column, limit: int = PART_ROWS) -> DataFrame:
+def overviews(docs: DataFrame, run_ts: Column, budget: int = PART_BYTES) -> DataFrame:
     """overviews(repo, part, content): one text per repository, in parts when long."""
     parts = ordered_text(
         overview_lines(docs),
@@ -367,7 +368,7 @@ def overviews(docs: DataFrame, run_ts: Column, limit: int = PART_ROWS) -> DataFr
         ["block", "category", "place", "doc_file"],
         F.col("line"),
         "\n",
-        limit=limit,
+        budget=budget,
     )
     last = F.col("part") == F.max("part").over(W.partitionBy("repo"))
     return parts.select(
@@ -379,10 +380,10 @@ def overviews(docs: DataFrame, run_ts: Column, limit: int = PART_ROWS) -> DataFr
     )
 
 
-def overview_categories(docs: DataFrame, limit: int = PART_ROWS) -> DataFrame:
+def overview_categories(docs: DataFrame, budget: int = PART_BYTES) -> DataFrame:
     """Documents per category, names in file order."""
     name = paths.doc_display_name(F.col("doc_file"))
     rows = visible_docs(docs).select(
         "repo", "doc_file", name.alias("name"), text.category_title(name).alias("category")
     ).distinct()
-    return ordered_items(rows, ["repo", "category"], ["doc_file"], F.col("name"), limit=limit)
+    return ordered_items(rows, ["repo", "category"], ["doc_file"], F.col("name"), budget=budget)

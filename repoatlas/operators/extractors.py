@@ -7,37 +7,54 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoatlas.functions import paths, text
-from repoatlas.operators.includes import extract_includes
+from repoatlas.functions import cpp_text, paths, text
 from repoatlas.operators.symbols import symbol_rows
 from repoatlas.settings import CPP_SUFFIXES
 
 
 @dataclass(frozen=True)
 class Extractor:
-    """``imports`` maps source_files to the imports schema, ``symbols`` to symbol rows.
+    """How facts of a language are read.
 
-    Either may be any DataFrame transformation, also one built on ``mapInPandas``.
+    ``row_imports`` maps a text to an array of (name, is_system), ``row_symbols`` to an array of
+    ``symbols.RECORD``; both are expressions, also pandas UDFs, so that one scan serves all
+    languages. ``lexes``: symbols come from the scan for the C family. For facts that a row
+    alone does not give, ``imports`` and ``symbols`` map source_files to imports and symbol
+    rows; each reads the content of its language once more.
     """
 
     language: str
     suffixes: tuple
-    imports: Callable[[DataFrame], DataFrame]
+    imports: Callable[[DataFrame], DataFrame] | None = None
     symbols: Callable[[DataFrame], DataFrame] | None = None
+    row_imports: Callable[[Column], Column] | None = None
+    row_symbols: Callable[[Column], Column] | None = None
+    lexes: bool = False
 
+    @property
+    def row_local(self) -> bool:
+        """Whether one scan can read everything."""
+        return (self.imports is None or self.row_imports is not None) and (
+            self.symbols is None or self.row_symbols is not None or self.lexes
+        )
 
-def html_links(files: DataFrame) -> DataFrame:
+
+def html_links(content_text: Column) -> Column:
     """Values of href attributes in text order; absolute URLs count as system."""
-    links = F.regexp_extract_all(
-        text.valid_text(F.col("content")), F.lit('href="([^"]*)"'), F.lit(1)
-    )
-    return files.select("repo", "path", F.posexplode(links).alias("ordinal", "name")).select(
-        "repo", "path", "ordinal", "name", F.col("name").rlike(r"\A[a-z]+://").alias("is_system")
+    return F.transform(
+        F.regexp_extract_all(content_text, F.lit('href="([^"]*)"'), F.lit(1)),
+        lambda n: F.struct(n.alias("name"), n.rlike(r"\A[a-z]+://").alias("is_system")),
     )
 
 
-CPP = Extractor("cpp", CPP_SUFFIXES, extract_includes, symbol_rows)
-HTML = Extractor("html", (".html", ".htm"), html_links)
+def cpp_includes(content_text: Column) -> Column:
+    return cpp_text.include_names(cpp_text.include_texts(content_text))
+
+
+CPP = Extractor("cpp", CPP_SUFFIXES, symbols=symbol_rows, row_imports=cpp_includes, lexes=True)
+HTML = Extractor("html", (".html", ".htm"), row_imports=html_links)
+
+IMPORTS = "array<struct<name:string,is_system:boolean>>"
 
 
 class Registry:
@@ -62,24 +79,35 @@ class Registry:
             ).otherwise(out)
         return out
 
-    def _each(self, files: DataFrame, kind: str, default: str | None) -> DataFrame:
+    def imports(self, files: DataFrame, default: str | None = None) -> DataFrame:
+        """Imports of all registered languages; ``default`` is for unknown suffixes.
+
+        Languages that read them from a row share one scan.
+        """
+        language = F.coalesce(self.language(F.col("path")), F.lit(default))
+        content = text.valid_text(F.col("content"))
+        found, outs = F.lit(None).cast(IMPORTS), []
+        for e in self:
+            if e.row_imports:
+                found = F.when(language == e.language, e.row_imports(content)).otherwise(found)
+            elif e.imports:
+                own = e.imports(files.where(language == e.language))
+                outs.append(own.withColumn("language", F.lit(e.language)))
+        rows = files.select("repo", "path", language.alias("language"), found.alias("found"))
+        shared = rows.select("repo", "path", "language", F.posexplode("found").alias("ordinal", "i"))
+        shared = shared.select("repo", "path", "ordinal", "i.name", "i.is_system", "language")
+        return reduce(DataFrame.unionByName, outs, shared)
+
+    def symbols(self, files: DataFrame, default: str | None = None) -> DataFrame:
+        """Symbol rows of the languages that give them as tables."""
         language = F.coalesce(self.language(F.col("path")), F.lit(default))
         outs = [
-            getattr(e, kind)(files.where(language == e.language)).withColumn(
-                "language", F.lit(e.language)
-            )
-            for e in self._by_language.values()
-            if getattr(e, kind)
+            e.symbols(files.where(language == e.language)).withColumn("language", F.lit(e.language))
+            for e in self
+            if e.symbols
         ]
         return reduce(DataFrame.unionByName, outs)
 
-    def imports(self, files: DataFrame, default: str | None = None) -> DataFrame:
-        """Imports of all registered languages; ``default`` is for unknown suffixes."""
-        return self._each(files, "imports", default)
-
-    def symbols(self, files: DataFrame, default: str | None = None) -> DataFrame:
-        return self._each(files, "symbols", default)
-
 
 def default_registry() -> Registry:
     return Registry(CPP, HTML)

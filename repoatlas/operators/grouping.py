@@ -1,75 +1,68 @@
 """Ordered lists and texts per group, safe for groups of any size.
 
-A group's rows become one array or one text only when the largest group is known to be
-small. Otherwise rows are ranked across the cluster by range partitioning, and each
-group is cut into ordered parts of ``limit`` rows; joining the parts gives the whole.
+A group whose values fit a budget of bytes becomes one array or one text. A larger one is
+ordered across the cluster and cut where running sums of bytes pass the budget; joining its
+parts gives the whole. Each group is treated by its own size, so a hot one changes no other.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repoatlas.settings import PART_ROWS
-from repoatlas.sources.workspace import materialize
+from repoatlas.settings import PART_BYTES
+from repoatlas.sources.workspace import materialize, written
 
 
-def group_sizes(df: DataFrame, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def split_by_size(rows: DataFrame, keys, size: Column, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of a stored table whose group fits the budget, and those of the other groups."""
+    long = rows.groupBy(*keys).agg(F.sum(size).alias("n")).where(F.col("n") > budget).select(*keys)
+    return rows.join(long, list(keys), "left_anti"), rows.join(long, list(keys), "left_semi")
 
 
-def largest(sizes: DataFrame) -> int:
-    """Size of the largest group: one number comes to the driver."""
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def with_rank(df: DataFrame, keys, order) -> DataFrame:
-    """Zero-based ``rank`` within a group; a hot group is spread over many tasks.
+def with_place(df: DataFrame, keys, order, size: Column) -> DataFrame:
+    """``before``: the sum of ``size`` over a group's rows before each; a hot group is spread
+    over many tasks.
 
     ``order`` must tell the rows of a group apart.
     """
     spread = materialize(
-        df.repartitionByRange(*keys, *order).withColumn("slice", F.spark_partition_id())
+        df.withColumn("size", size)
+        .repartitionByRange(*keys, *order)
+        .withColumn("slice", F.spark_partition_id())
     )
-    counts = spread.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select(
-        *keys,
-        "slice",
-        F.coalesce(
-            F.sum("n").over(
-                W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("start"),
-    )
-    local = F.row_number().over(W.partitionBy(*keys, "slice").orderBy(*order)) - 1
+    earlier = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = spread.groupBy(*keys, "slice").agg(F.sum("size").alias("n"))
+    starts = starts.select(*keys, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    above = W.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = F.coalesce(F.sum("size").over(above), F.lit(0))
     return (
         spread.withColumn("local", local)
         .join(starts, [*keys, "slice"])
-        .withColumn("rank", F.col("start") + F.col("local"))
-        .drop("start", "local", "slice")
+        .withColumn("before", F.col("start") + F.col("local"))
+        .drop("start", "local", "slice", "size")
     )
 
 
 def ordered_items(
-    df: DataFrame,
-    keys,
-    order,
-    value: Column,
-    sizes: DataFrame | None = None,
-    limit: int = PART_ROWS,
+    df: DataFrame, keys, order, value: Column, size: Column | None = None, budget: int = PART_BYTES
 ) -> DataFrame:
-    """keys, part, items: the group's values in order, cut into parts when large.
+    """keys, part, items: the group's values in order, in ascending parts of about ``budget``
+    bytes.
 
-    ``sizes`` (keys, n) may come from a cheaper table with the same groups.
+    ``size`` gives the bytes of a value, by default those of a text. Nothing is cut within a
+    value, so a part goes over the budget by less than one.
     """
     keys, order = list(keys), list(order)
-    rows = df.select(*keys, *order, value.alias("value"))
-    if largest(group_sizes(df, keys) if sizes is None else sizes) <= limit:
-        rows = rows.withColumn("part", F.lit(0))
-    else:
-        rows = with_rank(rows, keys, order).withColumn(
-            "part", F.floor(F.col("rank") / limit).cast("int")
-        )
+    size = F.octet_length(value) if size is None else size
+    # Read several times, so computed once.
+    rows = written(
+        df.select(*keys, *order, value.alias("value"), (F.coalesce(size, F.lit(0)) + 1).cast("long").alias("bytes")),
+        "items",
+    )
+    whole, long = split_by_size(rows, keys, F.col("bytes"), budget)
+    cut = with_place(long, keys, order, F.col("bytes"))
+    part = F.floor(F.col("before") / budget).cast("int")
+    rows = whole.withColumn("part", F.lit(0)).unionByName(cut.withColumn("part", part).drop("before"))
     return rows.groupBy(*keys, "part").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda r: r["value"]
@@ -78,16 +71,10 @@ def ordered_items(
 
 
 def ordered_text(
-    df: DataFrame,
-    keys,
-    order,
-    value: Column,
-    sep: str,
-    sizes: DataFrame | None = None,
-    limit: int = PART_ROWS,
+    df: DataFrame, keys, order, value: Column, sep: str, budget: int = PART_BYTES
 ) -> DataFrame:
     """keys, part, text. Every part but the first starts with the separator."""
-    items = ordered_items(df, keys, order, value, sizes, limit)
+    items = ordered_items(df, keys, order, value, budget=budget)
     return items.select(
         *keys,
         "part",

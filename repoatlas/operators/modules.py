@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.functions import paths
-from repoatlas.operators.grouping import group_sizes, largest, ordered_items
-from repoatlas.settings import PART_ROWS
+from repoatlas.operators.grouping import ordered_items, split_by_size
+from repoatlas.settings import PART_BYTES
+from repoatlas.sources.workspace import written
 
 _MODULE = ["repo", "module"]
 
@@ -20,10 +21,11 @@ def assign_modules(files: DataFrame, strategy: str = "directory", depth: int = 2
     )
 
 
-def module_groups(run_files: DataFrame, limit: int = PART_ROWS) -> DataFrame:
+def module_groups(run_files: DataFrame, budget: int = PART_BYTES) -> DataFrame:
     """modules(repo, module, part, module_path, files); files in path order."""
+    size = F.octet_length("path") + F.octet_length("module_path") + HASH_BYTES
     items = ordered_items(
-        run_files, _MODULE, ["path"], F.struct("path", "file_hash", "module_path"), limit=limit
+        run_files, _MODULE, ["path"], F.struct("path", "file_hash", "module_path"), size, budget
     )
     return items.select(
         *_MODULE,
@@ -36,6 +38,10 @@ def module_groups(run_files: DataFrame, limit: int = PART_ROWS) -> DataFrame:
     )
 
 
+# A hash with its name.
+HASH_BYTES = 71
+
+
 def _digest_runs(batches):
     """SHA-256 over the chunks of each module, which arrive sorted; keeps one digest."""
     key, digest = None, None
@@ -58,20 +64,22 @@ def _digest_runs(batches):
         yield pd.DataFrame([(*key, digest.hexdigest())], columns=["repo", "module", "combined_hash"])
 
 
-def combined_hashes(run_files: DataFrame, limit: int = PART_ROWS) -> DataFrame:
+def combined_hashes(run_files: DataFrame, budget: int = PART_BYTES) -> DataFrame:
     """combined_hash per module: SHA-256 of its sorted, joined file hashes.
 
-    Copies count. Modules of proven size are joined in memory. Beyond that a digest has to
-    read its input in order, so each module's hashes are sorted and joined in parallel,
-    in slices by their leading digits, and only those slices stream through the digest.
+    Copies count. The hashes of a module within the budget are joined in memory. Beyond that a
+    digest has to read its input in order, so each module's hashes are sorted and joined in
+    parallel, in slices by their leading digits, and only those slices stream through the
+    digest.
     """
-    sizes = group_sizes(run_files, _MODULE)
-    if largest(sizes) <= limit:
-        return run_files.groupBy(*_MODULE).agg(
-            F.sha2(F.array_join(F.sort_array(F.collect_list("file_hash")), ""), 256).alias(
-                "combined_hash"
-            )
-        )
+    rows = written(run_files.select(*_MODULE, "file_hash"), "file-hashes")
+    few, many = split_by_size(rows, _MODULE, F.lit(HASH_BYTES), budget)
+    joined = F.array_join(F.sort_array(F.collect_list("file_hash")), "")
+    small = few.groupBy(*_MODULE).agg(F.sha2(joined, 256).alias("combined_hash"))
+    return small.unionByName(_streamed_hashes(many))
+
+
+def _streamed_hashes(run_files: DataFrame) -> DataFrame:
     # A file without a hash adds nothing, as in the joined text above.
     hashed = run_files.withColumn("file_hash", F.coalesce("file_hash", F.lit("")))
     copies = hashed.groupBy(*_MODULE, "file_hash").agg(F.count(F.lit(1)).alias("times"))

@@ -4,17 +4,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.operators.grouping import ordered_items
-from repoatlas.settings import PART_ROWS
+from repoatlas.settings import PART_BYTES
 
 
 def state_rows(run_files: DataFrame) -> DataFrame:
     return run_files.select("repo", "path", "file_hash", "module")
 
 
-def state_modules(run_files: DataFrame, run_ts: Column, limit: int = PART_ROWS) -> DataFrame:
+def state_modules(run_files: DataFrame, run_ts: Column, budget: int = PART_BYTES) -> DataFrame:
     """state_modules(repo, module, part, generated_at, source_hashes) of a run."""
     items = ordered_items(
-        run_files, ["repo", "module"], ["path"], F.col("file_hash"), limit=limit
+        run_files, ["repo", "module"], ["path"], F.col("file_hash"), budget=budget
     )
     return items.select(
         "repo",

@@ -1,62 +1,131 @@
 """Nested file structures and their text summaries."""
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoatlas.functions import cpp_text, paths, text
-from repoatlas.operators.includes import extract_includes
-from repoatlas.operators.symbols import symbol_rows
+from repoatlas.operators.extractors import CPP, IMPORTS, Extractor, Registry
+from repoatlas.operators.symbols import RECORD, file_segments, records_of
 
 _FILE = ["repo", "path"]
+_FIELDS = dict(field.split(":") for field in RECORD.removeprefix("struct<")[:-1].split(","))
 
 
-def registry_structures(files: DataFrame, registry) -> DataFrame:
-    """``file_structures`` of every registered language, by its own extractor."""
+def registry_structures(
+    files: DataFrame, registry: Registry, segments: DataFrame | None = None
+) -> DataFrame:
+    """``file_structures`` of every registered language, with ``file_hash``.
+
+    One read of the content serves all languages whose facts come from a row, or none where
+    their ``segments`` were read before; other languages add reads of their own files.
+    """
     language = registry.language(F.col("path"))
+    shared = row_local(registry)
     frames = []
-    for extractor in registry:
-        own = files.where(language == extractor.language)
-        if extractor.imports is extract_includes:
-            frames.append(file_structures(own, extractor.language))
-            continue
-        facts = F.array_sort(F.collect_list(F.struct("ordinal", "name", "is_system")))
-        listed = extractor.imports(own).groupBy(*_FILE).agg(facts.alias("facts"))
-        imports = own.select(*_FILE).join(listed, _FILE, "left").select(
-            *_FILE,
-            F.lit(extractor.language).alias("language"),
-            F.transform(
-                F.coalesce("facts", F.expr("cast(array() as array<struct<ordinal:int,name:string,is_system:boolean>>)")),
-                lambda f: F.struct(f["name"].alias("name"), f["is_system"].alias("is_system")),
-            ).alias("imports"),
-        )
-        rows = extractor.symbols(own) if extractor.symbols else symbol_rows(own).where("false")
-        frames.append(_with_symbols(imports, rows))
+    if shared:
+        frames.append(structures_of(fact_segments(files, language, shared) if segments is None else segments))
+    for e in registry:
+        if e not in shared:
+            frames.append(_from_tables(files.where(language == e.language), e))
     return reduce(DataFrame.unionByName, frames)
 
 
+def row_local(registry: Registry) -> list[Extractor]:
+    return [e for e in registry if e.row_local]
+
+
 def file_structures(files: DataFrame, language: str = "cpp") -> DataFrame:
     """repo, path, language, imports, classes (with methods), functions; one row a file.
 
-    Includes are row-local. Lists are as long as one file declares.
+    Includes and symbols come from one read of the content. Lists are as long as one file
+    declares.
     """
-    imports = files.select(
+    own = replace(CPP, language=language)
+    return structures_of(fact_segments(files, F.lit(language), [own])).drop("file_hash")
+
+
+def fact_segments(
+    files: DataFrame, language: Column, extractors: list[Extractor], every: bool = False
+) -> DataFrame:
+    """Segments of the files, with language, hash, imports and symbols of other languages on the
+    first of each file: all that is read from the content, row by row.
+
+    Files of other languages are left out, or with ``every`` kept with their hash alone.
+    """
+    content = F.coalesce(text.valid_text(F.col("content")), F.lit(""))
+    imports, others = F.lit(None).cast(IMPORTS), F.lit(None).cast(f"array<{RECORD}>")
+    for e in extractors:
+        mine = F.col("language") == e.language
+        if e.lexes:
+            found = cpp_text.include_names(cpp_text.includes_of(F.col("marked")))
+            imports = F.when(mine, found).otherwise(imports)
+        elif e.row_imports:
+            imports = F.when(mine, e.row_imports(content)).otherwise(imports)
+        if e.row_symbols:
+            others = F.when(mine, e.row_symbols(content)).otherwise(others)
+    known = files.withColumn("language", language)
+    if not every:
+        known = known.where(F.col("language").isin(*(e.language for e in extractors)))
+    head = F.struct(
+        "language",
+        text.content_hash(F.col("content")).alias("file_hash"),
+        imports.alias("imports"),
+        others.alias("symbols"),
+    )
+    code = F.col("language").isin(*(e.language for e in extractors if e.lexes))
+    return file_segments(known, head, F.coalesce(code, F.lit(False)))
+
+
+def structures_of(segments: DataFrame) -> DataFrame:
+    """``file_structures`` with the file's hash, out of ``fact_segments``."""
+    rows = records_of(segments)
+    others = F.coalesce("head.symbols", F.array().cast(f"array<{RECORD}>"))
+    both = F.concat(F.array(F.struct(*_FIELDS).cast(RECORD)), others)
+    rows = rows.select(*_FILE, "head", F.explode(both).alias("r"))
+    return _gathered(rows.select(*_FILE, "r.*", "head"))
+
+
+def _from_tables(files: DataFrame, extractor: Extractor) -> DataFrame:
+    """Structures of an extractor that maps tables to tables."""
+    heads = files.select(
         *_FILE,
-        F.lit(language).alias("language"),
-        F.transform(
-            cpp_text.include_texts(text.valid_text(F.col("content"))),
-            lambda t: F.struct(
-                cpp_text.include_name(t).alias("name"),
-                cpp_text.include_is_system(t).alias("is_system"),
-            ),
-        ).alias("imports"),
+        F.lit("file").alias("record"),
+        F.struct(
+            F.lit(extractor.language).alias("language"),
+            text.content_hash(F.col("content")).alias("file_hash"),
+        ).alias("head"),
+    )
+    if extractor.imports:
+        found = extractor.imports(files)
+    else:
+        names = F.lit(None).cast(IMPORTS)
+        if extractor.row_imports:
+            names = extractor.row_imports(text.valid_text(F.col("content")))
+        found = files.select(*_FILE, F.posexplode(names).alias("ordinal", "i")).select(
+            *_FILE, "ordinal", "i.*"
+        )
+    in_order = F.array_sort(F.collect_list(F.struct("ordinal", "name", "is_system")))
+    names = F.transform(
+        in_order, lambda f: F.struct(f["name"].alias("name"), f["is_system"].alias("is_system"))
+    )
+    listed = found.groupBy(*_FILE).agg(names.alias("imports"))
+    heads = heads.join(listed, _FILE, "left").select(
+        *_FILE, "record", F.col("head").withField("imports", F.col("imports")).alias("head")
     )
-    return _with_symbols(imports, symbol_rows(files))
+    blank = {n: F.lit(None).cast(kind) for n, kind in _FIELDS.items() if n != "record"}
+    heads = heads.withColumns(blank)
+    if extractor.symbols is None:
+        return _gathered(heads)
+    rows = extractor.symbols(files)
+    rows = rows.select(*_FILE, *(F.col(n).cast(kind).alias(n) for n, kind in _FIELDS.items()))
+    return _gathered(heads.unionByName(rows, allowMissingColumns=True))
 
 
-def _with_symbols(imports: DataFrame, rows: DataFrame) -> DataFrame:
-    """Symbol rows arrive hashed by (repo, path), which both groupings reuse."""
+def _gathered(rows: DataFrame) -> DataFrame:
+    """One row a file out of its records. Rows that arrive hashed by (repo, path) stay so."""
 
     def fields(*names):
         return F.struct(*[F.col(n) for n in names])
@@ -74,6 +143,7 @@ def _with_symbols(imports: DataFrame, rows: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.when(F.col("record") == "function", function))).alias(
                 "functions"
             ),
+            F.first(F.when(F.col("record") == "file", F.col("head")), ignorenulls=True).alias("head"),
         )
     )
     # All classes come before all structs.
@@ -88,18 +158,17 @@ def _with_symbols(imports: DataFrame, rows: DataFrame) -> DataFrame:
             F.col("methods"),
         ),
     )
-    symbols = per_class.groupBy(*_FILE).agg(
+    return per_class.groupBy(*_FILE).agg(
         F.array_sort(F.collect_list(cls)).alias("classes"),
         F.flatten(F.collect_list("functions")).alias("functions"),
-    )
-    joined = imports.join(symbols, _FILE, "left")
-    types = dict(symbols.dtypes)
-
-    def or_empty(name):
-        return F.coalesce(name, F.array().cast(types[name])).alias(name)
-
-    return joined.select(
-        *_FILE, "language", "imports", or_empty("classes"), or_empty("functions")
+        F.first("head", ignorenulls=True).alias("head"),
+    ).select(
+        *_FILE,
+        "head.language",
+        "head.file_hash",
+        F.coalesce("head.imports", F.array().cast(IMPORTS)).alias("imports"),
+        "classes",
+        "functions",
     )
 
 

@@ -6,7 +6,7 @@ are keyed by (repo, path, ...), so they reuse that one exchange. The unit of wor
 one file; no window spans files.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,13 @@ _CLASSES = ("class", "struct")
 _SEGMENT_ROOM = 1 << 31
 
 
+# A symbol row without its file.
+RECORD = (
+    "struct<record:string,class_id:bigint,position:bigint,kind:string,name:string,"
+    "signature:string,line_start:int,line_end:int,visibility:string>"
+)
+
+
 def _in_file(*keys, order="pos"):
     return W.partitionBy(*_FILE, *keys).orderBy(*([order] if isinstance(order, str) else order))
 
@@ -58,26 +65,45 @@ def _class_id(pos, nth=None):
     return pos.cast("long") * _SEGMENT_ROOM + nth
 
 
-def file_segments(files: DataFrame) -> DataFrame:
-    """Segments that matter, with the parts read off their headers."""
-    cut = files.select(
-        *_FILE, C.segments(text.valid_text(F.col("content"))).alias("segments")
+def file_segments(files: DataFrame, head: Column | None = None, is_code: Column | None = None) -> DataFrame:
+    """Segments that matter, with the parts read off their headers.
+
+    ``head`` is a value of each file over its columns and ``marked``, its marked text; it comes
+    along on the first segment, which is then always kept: facts of files and symbols out of one
+    read of the content. Files where ``is_code`` is false are one segment without symbols.
+    """
+    marked = files.withColumn("marked", C.marked(F.coalesce(text.valid_text(F.col("content")), F.lit(""))))
+    segments = C.segments_of(F.col("marked"))
+    if is_code is not None:
+        segments = F.when(is_code, segments).otherwise(F.array(F.lit("")))
+    empty = F.lit(None).cast("boolean")
+    cut = marked.select(
+        *_FILE, segments.alias("segments"), (empty if head is None else head).alias("head")
     )
     rows = cut.select(
         *_FILE,
         F.size("segments").alias("end_pos"),
         C.last_code_line(F.element_at("segments", -1)).alias("end_line"),
-        F.posexplode("segments").alias("pos", "segment"),
-    ).where(C.segment_matters(F.col("segment")))
-    rows = rows.withColumn("segment", C.shallow(F.col("segment")))
+        F.posexplode(
+            F.transform(
+                "segments",
+                lambda s, i: F.struct(s.alias("segment"), F.when(i == 0, F.col("head")).alias("head")),
+            )
+        ).alias("pos", "s"),
+    ).select(*_FILE, "end_pos", "end_line", "pos", "s.segment", "s.head")
+    rows = rows.where(C.segment_matters(F.col("segment")) | F.col("head").isNotNull())
     segment = F.col("segment")
+    # Only headers are read beyond their last character.
+    is_header = F.right(segment, F.lit(1)).isin("{", ";") | C.has_class_word(segment)
+    rows = rows.withColumn("segment", F.when(is_header, C.shallow(segment)).otherwise(segment))
     rows = rows.select(
         *_FILE,
         "pos",
         "end_pos",
         "end_line",
+        "head",
         C.delimiter(segment).alias("delim"),
-        C.header(segment, C.delimiter(segment)).alias("head"),
+        C.header(segment, C.delimiter(segment)).alias("header"),
         F.when(F.right(segment, F.lit(1)).isin("{", ";"), C.first_code_line(segment)).alias(
             "line_first"
         ),
@@ -85,8 +111,8 @@ def file_segments(files: DataFrame) -> DataFrame:
         F.when(F.right(segment, F.lit(1)) == ":", C.access_label(segment)).alias("label"),
     )
     # Costly patterns run once each, and only on headers that can match.
-    head, delim = F.col("head"), F.col("delim")
-    opens, class_word = delim == "{", C.has_class_word(F.col("head"))
+    head, delim = F.col("header"), F.col("delim")
+    opens, class_word = delim == "{", C.has_class_word(head)
     rows = rows.withColumns(
         {
             "plain": F.when(delim.isin("{", ";"), C.plain_header(head)),
@@ -113,6 +139,7 @@ def file_segments(files: DataFrame) -> DataFrame:
         "pos",
         "end_pos",
         "end_line",
+        F.col("head"),
         "delim",
         F.when(is_class, C.class_keyword(F.col("class_match")))
         .when(F.col("block").isNotNull(), F.col("block"))
@@ -143,13 +170,13 @@ def _with_levels(segments: DataFrame) -> DataFrame:
     )
 
 
-def _with_scopes(files: DataFrame) -> DataFrame:
+def _with_scopes(segments: DataFrame) -> DataFrame:
     """Segments with paired braces and, for functions, the kind of the scope around.
 
     An opening brace gets its closing position and line; one that is never closed ends
     with the file.
     """
-    rows = _with_levels(file_segments(files))
+    rows = _with_levels(segments)
     # Opens and closes alternate within one level, so the partner is the next row.
     opens = F.col("delim") == "{"
     pair = _in_file("is_brace", "level")
@@ -201,12 +228,16 @@ def _with_scopes(files: DataFrame) -> DataFrame:
 
 
 def scopes(files: DataFrame) -> DataFrame:
+    return scopes_of(file_segments(files))
+
+
+def scopes_of(segments: DataFrame) -> DataFrame:
     """The rows that symbols are made of, and what encloses them.
 
     ``class_depth`` counts the open classes, named or not; ``in_unnamed_ns`` tells an
     unnamed namespace on the way up. Plain blocks and their ends are gone.
     """
-    rows = _with_scopes(files)
+    rows = _with_scopes(segments)
     # A function cannot open directly inside a function or a plain block.
     nested = F.coalesce(F.col("parent_kind").isin("function", "other"), F.lit(False))
     rows = rows.withColumn(
@@ -219,6 +250,7 @@ def scopes(files: DataFrame) -> DataFrame:
         | F.col("closes").isin(*_CLASSES, *hidden)
         | F.col("label").isNotNull()
         | (F.size("mentions") > 0)
+        | F.col("head").isNotNull()
     )
     before = _in_file().rowsBetween(W.unboundedPreceding, -1)
 
@@ -286,6 +318,7 @@ def _seated(scoped: DataFrame) -> DataFrame:
     )
     rows = scoped.where(
         _opens_class() | _is_function() | F.col("label").isNotNull() | (F.size("mentions") > 0)
+        | F.col("head").isNotNull()
     ).select("*", F.posexplode(seats).alias("nth_seat", "seat"))
     so_far = _in_file("seat").rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = _in_file("seat").rowsBetween(W.unboundedPreceding, -1)
@@ -353,11 +386,20 @@ def symbol_rows(files: DataFrame) -> DataFrame:
     """Everything a file declares, as one table with a ``record`` column.
 
     ``record`` is class, method or function; for a method ``class_id`` is its owner.
+    """
+    return records_of(file_segments(files)).drop("head")
+
+
+def records_of(segments: DataFrame) -> DataFrame:
+    """``symbol_rows`` of segments; files whose segments carry a ``head`` have a record
+    ``file`` with it.
+
     One pass over the scope rows: records are put into an array and exploded.
     """
-    rows = _seated(scopes(files)).where(
-        _opens_class() | _is_function() | (F.size("mentions") > 0)
+    rows = _seated(scopes_of(segments)).where(
+        _opens_class() | _is_function() | (F.size("mentions") > 0) | F.col("head").isNotNull()
     )
+    no_head = F.lit(None).cast(segments.schema["head"].dataType)
 
     def record(kind_of, class_id, position, kind, name, start, end, sign=None, vis=None):
         none = F.lit(None).cast("string")
@@ -371,6 +413,7 @@ def symbol_rows(files: DataFrame) -> DataFrame:
             start.alias("line_start"),
             end.alias("line_end"),
             (none if vis is None else vis).alias("visibility"),
+            no_head.alias("head"),
         )
 
     pos, col, none = F.col("pos"), F.col, F.lit(None).cast("string")
@@ -411,7 +454,12 @@ def symbol_rows(files: DataFrame) -> DataFrame:
             )
         ),
     )
-    found = F.flatten(F.array_compact(F.array(mentions, body, method, function)))
+    blank = record("file", F.lit(None), pos, none, none, F.lit(None).cast("int"), F.lit(None).cast("int"))
+    file = F.when(
+        (col("nth_seat") == 0) & col("head").isNotNull(),
+        F.array(blank.withField("head", col("head"))),
+    )
+    found = F.flatten(F.array_compact(F.array(mentions, body, method, function, file)))
     return rows.select(*_FILE, F.explode(found).alias("r")).select(*_FILE, "r.*")
 
 

@@ -535,7 +535,11 @@ def dependency_graph(spark, sf_dir):
     run = _star_run(spark, sf_dir)
     rows = graph.related(update.module_edges(run, STAR_FULL), run.modules)
     items = ordered_items(
-        rows, ["repo", "module"], ["side", "other"], F.struct("side", "other")
+        rows,
+        ["repo", "module"],
+        ["side", "other"],
+        F.struct("side", "other"),
+        F.octet_length("other"),
     )
 
     def side(name):

@@ -1,6 +1,6 @@
 """One run: select, hash, diff, group, extract, link, document, save."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from repoatlas.plans.status import select_files
 from repoatlas.schemas import COMPLETIONS
 from repoatlas.settings import JobOptions
 from repoatlas.sources import docs as doc_tables
-from repoatlas.sources import state_store
+from repoatlas.sources import facts_store, state_store
 from repoatlas.sources.workspace import materialize, small_enough, written
 
 
@@ -31,6 +31,7 @@ class Run:
     run_files: DataFrame  # those this run works on
     sources: DataFrame  # their content, known languages only
     file_map: DataFrame  # all known files and their modules
+    facts: DataFrame | None = None  # their structures, where they are stored already
 
     @property
     def modules(self) -> DataFrame:
@@ -42,11 +43,12 @@ def prepare(
     state_files: DataFrame,
     options: JobOptions,
     rules: DataFrame | None = None,
+    hashed: DataFrame | None = None,
 ) -> Run:
+    """The tables of a run; ``hashed`` where the selected files were read already."""
     selected = select_files(files, options, rules)
-    current = modules.assign_modules(
-        changes.hash_files(selected), options.strategy, options.depth
-    )
+    hashed = changes.hash_files(selected) if hashed is None else hashed
+    current = modules.assign_modules(hashed, options.strategy, options.depth)
     if options.mode == "full":
         run_files = current
     else:
@@ -54,24 +56,67 @@ def prepare(
         # The narrow list of changed files steers every later stage: computed once.
         run_files = materialize(state.files_of_scope(current, changed, options.scope))
     known = selected.where(registry_of(options).language(F.col("path")).isNotNull())
-    sources = (
-        known
-        if options.mode == "full"
-        # A short list of changed files goes to the content; only a long one moves it.
-        else known.join(small_enough(run_files.select("repo", "path")), ["repo", "path"], "left_semi")
-    )
+    sources = known if options.mode == "full" else content_of(known, run_files)
     return Run(current, run_files, sources, graph.file_module_map(run_files, state_files))
 
 
+def content_of(files: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Files of a stored list: a short list goes to the content, only a long one moves it."""
+    return files.join(small_enough(chosen.select("repo", "path")), ["repo", "path"], "left_semi")
+
+
 def registry_of(options: JobOptions) -> Registry:
     return options.registry or Registry(CPP)
 
 
+def with_facts(
+    spark: SparkSession,
+    base: str,
+    run_id: str,
+    files: DataFrame,
+    state_files: DataFrame,
+    options: JobOptions,
+    rules: DataFrame | None = None,
+) -> Run:
+    """``prepare`` with the structures of the run's files out of the table of facts.
+
+    What a content declares is stored under its hash and read off once, for all copies and
+    later runs. The first run reads the content once, for hashes and facts together; later runs
+    read it for the hashes, and again only one file of each hash that is new.
+    """
+    registry = registry_of(options)
+    known = facts_store.load(spark, base)
+    segments = hashed = None
+    if state_files.isEmpty() and known.isEmpty():
+        selected = select_files(files, options, rules)
+        shared = structures.row_local(registry)
+        language = registry.language(F.col("path"))
+        segments = written(structures.fact_segments(selected, language, shared, True), "segments")
+        hashed = segments.where("head is not null").select("repo", "path", "head.file_hash")
+    run = prepare(files, state_files, options, rules, hashed)
+    if options.mode == "full":
+        run = replace(run, run_files=materialize(run.run_files))
+    language = registry.language(F.col("path"))
+    needed = run.run_files.select("repo", "path", "file_hash", language.alias("language"))
+    needed = needed.where("language is not null")
+    new = written(facts_store.firsts(needed, known), "new-facts")
+    sources = content_of(run.sources, new)
+    if segments is not None:
+        segments = segments.join(new, ["repo", "path"], "left_semi")
+    facts_store.add(
+        spark, base, run_id, structures.registry_structures(sources, registry, segments)
+    )
+    return replace(run, facts=facts_store.of_files(needed, facts_store.load(spark, base)))
+
+
 def run_imports(run: Run, options: JobOptions) -> DataFrame:
     """Includes of the run's files with the module of the importing file."""
-    return modules.assign_modules(
-        registry_of(options).imports(run.sources), options.strategy, options.depth
-    )
+    if run.facts is None:
+        imports = registry_of(options).imports(run.sources)
+    else:
+        imports = run.facts.select("repo", "path", F.posexplode("imports").alias("ordinal", "i"))
+        imports = imports.select("repo", "path", "ordinal", "i.name", "i.is_system")
+    return modules.assign_modules(imports, options.strategy, options.depth)
 
 
 def module_edges(run: Run, options: JobOptions) -> DataFrame:
@@ -80,11 +125,10 @@ def module_edges(run: Run, options: JobOptions) -> DataFrame:
 
 
 def prompts(run: Run, options: JobOptions) -> DataFrame:
-    return documents.module_prompts(
-        run.run_files,
-        structures.registry_structures(run.sources, registry_of(options)),
-        options.part_rows,
-    )
+    found = run.facts
+    if found is None:
+        found = structures.registry_structures(run.sources, registry_of(options))
+    return documents.module_prompts(run.run_files, found, options.part_bytes)
 
 
 def new_docs(
@@ -99,8 +143,8 @@ def new_docs(
     return documents.module_docs(
         prompt_table,
         completions,
-        modules.combined_hashes(run.run_files, options.part_rows),
-        documents.related_sections(edges, run.modules, options.part_rows),
+        modules.combined_hashes(run.run_files, options.part_bytes),
+        documents.related_sections(edges, run.modules, options.part_bytes),
         run_ts,
     )
 
@@ -126,8 +170,7 @@ def update(
     that dies leaves the previous one in force.
     """
     saved_files = state_store.load_files(spark, base)
-    saved_modules = state_store.load_modules(spark, base)
-    run = prepare(files, saved_files, options, rules)
+    run = with_facts(spark, base, run_id, files, saved_files, options, rules)
     run_files = run.run_files
     if run_files.isEmpty():
         return False
@@ -157,20 +200,15 @@ def update(
     doc_dir = f"{base}/docs/run_id={run_id}"
     doc_tables.write_docs(all_docs, doc_dir)
     doc_tables.write_overviews(
-        documents.overviews(doc_tables.read_docs(spark, doc_dir), run_ts, options.part_rows),
+        documents.overviews(doc_tables.read_docs(spark, doc_dir), run_ts, options.part_bytes),
         f"{base}/overviews/run_id={run_id}",
     )
-    repos = run_files.select("repo").distinct()
     state_store.save(
         spark,
         base,
         run_id,
-        state.upsert_files(saved_files.join(repos, "repo", "left_semi"), run_files),
-        state.upsert(
-            saved_modules.join(repos, "repo", "left_semi"),
-            state.state_modules(run_files, run_ts, options.part_rows),
-            ["repo", "module"],
-        ),
+        state.state_rows(run_files),
+        state.state_modules(run_files, run_ts, options.part_bytes),
         run_ts,
     )
     return True

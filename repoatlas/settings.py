@@ -21,9 +21,9 @@ DEFAULT_EXCLUDE = (
 # File suffixes of C and C++ sources.
 CPP_SUFFIXES = (".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".hxx")
 
-# Rows that one aggregation builds a list or text from at once. Larger groups are ordered
-# in parts of this many rows, which join to the same text.
-PART_ROWS = 100_000
+# Bytes that one aggregation builds a list or text from at once. Larger groups are ordered
+# in parts of this many bytes, which join to the same text.
+PART_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -36,5 +36,5 @@ class JobOptions:
     depth: int = 2
     mode: str = "incremental"  # or "full"
     scope: str = "changed"  # or "module": all files of affected modules
-    part_rows: int = PART_ROWS
+    part_bytes: int = PART_BYTES
     registry: object = None  # an extractors.Registry; C and C++ alone if missing

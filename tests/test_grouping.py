@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from repoatlas.operators import documents, modules
-from repoatlas.operators.grouping import ordered_text, with_rank
+from repoatlas.operators.grouping import ordered_text, with_place
 
 
 def _run_files(spark, n=600):
@@ -21,22 +21,32 @@ def _run_files(spark, n=600):
 def test_parts_join_to_the_whole(spark):
     df, rows = _run_files(spark)
     args = (df, ["repo", "module"], ["path"], F.col("path"), "\n")
-    whole = {r.module: r.text for r in ordered_text(*args).collect()}
-    parts = ordered_text(*args, limit=50).orderBy("module", "part").collect()
-    joined = {}
-    for r in parts:
-        joined[r.module] = joined.get(r.module, "") + r.text
-    assert joined == whole
-    assert whole["hot"] == "\n".join(sorted(p for _, p, _, m, _ in rows if m == "hot"))
-    assert max(r.part for r in parts) == 8
-    assert all(r.text.strip("\n").count("\n") < 50 for r in parts)
-
-
-def test_rank_spreads_one_group(spark):
+    want = {}
+    for _, path, _, module, _ in sorted(rows):
+        want.setdefault(module, []).append(path)
+    cold = {}
+    for budget in (100, 1_500, 1 << 20):
+        parts = ordered_text(*args, budget=budget).orderBy("module", "part").collect()
+        joined = {}
+        for r in parts:
+            joined[r.module] = joined.get(r.module, "") + r.text
+        assert joined == {m: "\n".join(p) for m, p in want.items()}
+        # A part goes over the budget by less than one value.
+        assert all(len(r.text) <= budget + 20 for r in parts)
+        cold[budget] = sorted((r.module, r.part, r.text) for r in parts if r.module != "hot")
+    assert sum(r.module == "hot" for r in parts) == 1
+    # One hot group leaves the others as they were.
+    assert cold[1_500] == cold[1 << 20] and {part for _, part, _ in cold[1_500]} == {0}
+
+
+def test_running_sums_spread_one_group(spark):
     df, _ = _run_files(spark)
-    ranked = with_rank(df.select("repo", "path"), ["repo"], ["path"]).orderBy("rank").collect()
-    assert [r["rank"] for r in ranked] == list(range(len(ranked)))
-    assert [r.path for r in ranked] == sorted(r.path for r in ranked)
+    placed = with_place(df.select("repo", "path"), ["repo"], ["path"], F.length("path"))
+    rows = placed.orderBy("path").collect()
+    total = 0
+    for r in rows:
+        assert r.before == total
+        total += len(r.path)
 
 
 def test_combined_hash_of_large_modules(spark):
@@ -46,15 +56,15 @@ def test_combined_hash_of_large_modules(spark):
         want.setdefault(module, []).append(digest)
     want = {m: hashlib.sha256("".join(sorted(h)).encode()).hexdigest() for m, h in want.items()}
     unread = spark.createDataFrame([("r", "hot/x.h", None, "hot", "hot")], df.schema)
-    for limit in (1, 10, 100_000):
+    for budget in (1, 71 * 100, 1 << 20):
         for table in (df, df.unionByName(unread)):
-            got = modules.combined_hashes(table, limit).collect()
+            got = modules.combined_hashes(table, budget).collect()
             assert {r.module: r.combined_hash for r in got} == want
 
 
 def test_module_groups_in_parts(spark):
     df, rows = _run_files(spark)
-    got = modules.module_groups(df, limit=50).orderBy("part").collect()
+    got = modules.module_groups(df, budget=5_000).orderBy("part").collect()
     files = [f.path for r in got if r.module == "hot" for f in r.files]
     assert files == sorted(p for _, p, _, m, _ in rows if m == "hot")
 
@@ -78,9 +88,9 @@ def test_long_documents(spark):
     ts = F.lit("2024-01-01 00:00:00").cast("timestamp")
     combined = modules.combined_hashes(df)
 
-    def docs(limit):
-        related = documents.related_sections(edges, df.select("repo", "module"), limit)
-        prompts = documents.module_prompts(df, structures, limit)
+    def docs(budget):
+        related = documents.related_sections(edges, df.select("repo", "module"), budget)
+        prompts = documents.module_prompts(df, structures, budget)
         assert prompts.groupBy("repo", "module").count().where("count > 1").isEmpty()
         return documents.module_docs(prompts, none, combined, related, ts)
 
@@ -90,10 +100,10 @@ def test_long_documents(spark):
             out[r[key]] = out.get(r[key], "") + r.content
         return out
 
-    for limit in (1, 2, 3):
-        assert texts(docs(limit), "module") == texts(docs(100_000), "module")
-    whole = documents.overviews(docs(100_000), ts)
-    assert texts(documents.overviews(docs(3), ts, 4), "repo") == texts(whole, "repo")
+    for budget in (1, 150):
+        assert texts(docs(budget), "module") == texts(docs(1 << 20), "module")
+    whole = documents.overviews(docs(1 << 20), ts)
+    assert texts(documents.overviews(docs(150), ts, 100), "repo") == texts(whole, "repo")
 
 
 def test_shared_document_names(spark):

@@ -9,7 +9,7 @@ from repoatlas.operators import changes, documents, graph
 from repoatlas.operators.extractors import CPP, Extractor, Registry
 from repoatlas.operators.summarize import summarize, unanswered
 from repoatlas.plans.status import status
-from repoatlas.plans.update import module_edges, prepare, prompts, update
+from repoatlas.plans.update import module_edges, prepare, prompts, update, with_facts
 from repoatlas.settings import JobOptions
 from repoatlas.sources import docs as doc_tables
 from repoatlas.sources import rules, state_store
@@ -266,3 +266,91 @@ def test_change_feed_on_saved_state(spark):
     now = {r.path: r.file_hash for r in feed_state(spark, saved, out).collect()}
     want = {r.path: r.file_hash for r in changes.hash_files(versions).collect()}
     assert now == want
+
+
+def test_one_read_for_hashes_and_facts_then_only_new_hashes(spark):
+    base = new_dir(spark, "job")
+    reads, facts = (spark.sparkContext.accumulator(0) for _ in range(2))
+
+    @F.udf("binary")
+    def read(content):
+        reads.add(1)
+        return content
+
+    @F.udf("array<struct<name:string,is_system:boolean>>")
+    def words(content):
+        facts.add(1)
+        return [(w, False) for w in content.split()]
+
+    registry = Registry(Extractor("toy", (".toy",), row_imports=words))
+    options = JobOptions(include=("**",), registry=registry)
+
+    def run(files, run_id):
+        reads.value = facts.value = 0
+        table = _table(spark, files).withColumn("content", read("content"))
+        assert update(spark, base, table, _none(spark), run_id, _ts("2024-01-01"), options)
+        return reads.value, facts.value, spark.read.parquet(f"{base}/facts/run_id={run_id}").count()
+
+    files = {f"src/m{n % 5}/f{n}.toy": f"text {n % 10}" for n in range(40)}
+    assert run(files, "one") == (40, 40, 10)
+    new = {f"src/new/f{n}.toy": f"new {n % 2}" for n in range(6)}
+    # All are read for their hashes; facts are taken of one file for each new content.
+    _, taken, stored = run(files | new, "two")
+    assert (taken, stored) == (2, 2)
+    assert spark.read.parquet(f"{base}/facts").count() == 12
+
+
+def test_facts_of_a_run_are_those_of_its_files(spark):
+    base, options = new_dir(spark, "job"), JobOptions()
+    saved = state_store.load_files(spark, base)
+    files = _table(spark, FILES).unionByName(_table(spark, FILES, "copy"))
+    stored = with_facts(spark, base, "one", files, saved, options)
+    direct = prepare(files, saved, options)
+    for table in (prompts, module_edges):
+        assert sorted(map(repr, table(stored, options).collect())) == sorted(
+            map(repr, table(direct, options).collect())
+        )
+    assert spark.read.parquet(f"{base}/facts").count() == 4
+
+
+def _state(spark, rows):
+    files = spark.createDataFrame(rows, "repo string, path string, file_hash string, module string")
+    modules = files.select("repo", "module").distinct().select(
+        "repo", "module", F.lit(0).alias("part"), _ts("2024-01-01").alias("generated_at"),
+        F.array(F.lit("h")).alias("source_hashes"),
+    )
+    return files, modules
+
+
+def _loaded(spark, base):
+    tables = state_store.load_files(spark, base), state_store.load_modules(spark, base)
+    return [sorted(map(tuple, t.collect())) for t in tables]
+
+
+def test_state_log(spark):
+    base = new_dir(spark, "state")
+    first = [(repo, f"p{n}", "old", f"m{n % 3}") for repo in ("r", "s") for n in range(100)]
+    state_store.save(spark, base, "one", *_state(spark, first), _ts("2024-01-01"))
+    changed = [("r", "p5", "new", "m9"), ("r", "added", "new", "m9")]
+    state_store.save(spark, base, "two", *_state(spark, changed), _ts("2024-01-02"))
+    # A run writes what it changed, and no other.
+    assert spark.read.parquet(f"{base}/files/run_id=two").count() == 2
+    want = {(r, p): (r, p, h, m) for r, p, h, m in first + changed}
+    files, modules = _loaded(spark, base)
+    assert files == sorted(want.values())
+    assert [m[:2] for m in modules] == [("r", "m0"), ("r", "m1"), ("r", "m2"), ("r", "m9"), ("s", "m0"), ("s", "m1"), ("s", "m2")]
+    # A run that dies before it is published leaves nothing visible; its id can be used again.
+    _state(spark, [("r", "p7", "dead", "m")])[0].write.partitionBy("repo").parquet(f"{base}/files/run_id=three")
+    assert _loaded(spark, base) == [files, modules]
+    assert state_store.compact(spark, base, "none") == 0
+    assert state_store.compact(spark, base, "all", share=0.01) == 1
+    assert _loaded(spark, base) == [files, modules]
+    latest = {r.repo: r.run_id for r in state_store.latest_runs(spark, base).collect()}
+    assert latest == {"r": "two", "s": "one"}
+    # The first run still holds one repository; the second holds none.
+    assert state_store.drop_superseded(spark, base) == ["two"]
+    assert _loaded(spark, base) == [files, modules]
+    many = [("r", f"p{n}", "third", "m0") for n in range(60)]
+    state_store.save(spark, base, "three", *_state(spark, many), _ts("2024-01-03"))
+    assert not state_store.run_log(spark, base).where("run_id = 'three-compacted'").isEmpty()
+    assert sum(f[2] == "third" for f in _loaded(spark, base)[0]) == 60

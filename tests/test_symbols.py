@@ -56,10 +56,31 @@ def _files(spark, source, path="src/a.cpp"):
     )
 
 
-def test_lexemes_lose_nothing(spark):
-    df = spark.createDataFrame([(SOURCE,), ("'unclosed \" /* x",), ("",)], "t string")
-    for row in df.select("t", cpp_text.lexemes(F.col("t")).alias("l")).collect():
-        assert "".join(row.l) == row.t
+def test_segments_lose_nothing(spark):
+    """Without marks, hidden literals put back, segments are the text without comments."""
+    cases = {
+        SOURCE: None,
+        "'unclosed \" /* x": "'unclosed \"  ",
+        "": "",
+        "a/* b\n\n */c // d\n#define X \\\n y\nint i = 1'000'0; L\"x\\\n{y\" u8R\"(\n//)\" 'R'":
+            "a c \n\nint i = 1'000'0; L\"x\\\n{y\" u8R\"(\n//)\" 'R'",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    for row in df.select("t", F.array_join(F.transform(cpp_text.segments(F.col("t")), cpp_text.shown), "").alias("s")).collect():
+        if cases[row.t] is not None:
+            assert row.s == cases[row.t]
+
+
+def test_lines_after_long_comments_and_literals(spark):
+    source = """int a() { /* one
+two */ } int b() { } const char* s = R"x(
+{ )x"; int c() { } const char* t = "k\\
+l"; int d() { }
+"""
+    rows = symbols.functions_of(symbols.scopes(_files(spark, source))).orderBy("position").collect()
+    assert [(r.name, r.line_start, r.line_end) for r in rows] == [
+        ("a", 1, 2), ("b", 2, 2), ("c", 3, 3), ("d", 4, 4),
+    ]
 
 
 def test_long_literals_and_runs(spark):
@@ -197,3 +218,22 @@ def test_brackets_nest_to_any_depth(spark):
         ("g", f"{angle} g({angle} x)"),
     ]
     assert [(c.name, [m.name for m in c.methods]) for c in row.classes] == [(f"B<{angle}>", ["m"])]
+
+
+def test_many_brackets_in_one_segment_take_linear_time(spark):
+    import time
+
+    def seconds(source):
+        start = time.perf_counter()
+        rows = symbols.functions_of(symbols.scopes(_files(spark, source))).collect()
+        return time.perf_counter() - start, [(r.name, r.line_start) for r in rows]
+
+    flat = ", ".join(f"f({i})" for i in range(16_000))
+    few, _ = min(seconds("int f(int a = ((((((((((1)))))))))) { }") for _ in range(2))
+    for source, found in (
+        (f"int g(int a = h({flat})) {{ return 1; }}\n", [("g", 1)]),
+        (f"int x[] = {{ {flat} }};\nint last() {{ return 1; }}\n", [("last", 2)]),
+    ):
+        took, rows = seconds(source)
+        assert rows == found
+        assert took < few + 2
