@@ -118,7 +118,7 @@ def marked(text: Column) -> Column:
 def include_texts(text: Column) -> Column:
     """What follows each ``#include``, with its brackets or quotes."""
     # Files without the word are not searched at all.
-    return F.when(text.contains("include"), includes_of(marked(text))).otherwise(
+    return F.when(text.contains("include"), _let(marked(text), includes_of)).otherwise(
         F.array().cast("array<string>")
     )
 
@@ -202,6 +202,8 @@ def shown(text: Column) -> Column:
 
 # Pieces that a running text is built from before it joins the others.
 _STRIDE = 128
+# More elements than an array has.
+_MANY = (1 << 31) - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -275,20 +277,25 @@ def _hide_nested(text: Column, opening: str, closing: str, depth: int) -> Column
         _let(pieces, in_strides),
         lambda strides: _let(moves_of(strides), lambda moves: F.array_join(fold(strides, moves), "")),
     )
-    count = F.length(text) - F.length(F.replace(text, F.lit(opening), F.lit("")))
-    return F.when(count > depth, folded).otherwise(text)
+    return F.when(_count(text, opening) > depth, folded).otherwise(text)
+
+
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def shallow(segment: Column) -> Column:
     """A segment whose brackets nest no deeper than the header patterns follow them."""
-    return _let(
+    flat = _let(
         _hide_nested(segment, "(", ")", _PAREN_DEPTH),
-        lambda flat: _hide_nested(flat, "<", ">", _ANGLE_DEPTH),
+        lambda text: _hide_nested(text, "<", ">", _ANGLE_DEPTH),
     )
+    deep = (_count(segment, "(") > _PAREN_DEPTH) | (_count(segment, "<") > _ANGLE_DEPTH)
+    return F.when(deep, flat).otherwise(segment)
 
 
 def segments(text: Column) -> Column:
-    return segments_of(marked(text))
+    return _let(marked(text), segments_of)
 
 
 def segments_of(marked_text: Column) -> Column:
@@ -322,7 +329,7 @@ def segments_of(marked_text: Column) -> Column:
 
     lines = F.split(_let(neutral_text(marked_text), keywords), _M0)
     # The text starts with a mark: what is before it is empty.
-    marked = F.transform(F.slice(lines, F.lit(2), F.size(lines)), cut)
+    marked = F.transform(F.slice(lines, F.lit(2), F.lit(_MANY)), cut)
     return F.split(F.array_join(marked, ""), _CUT)
 
 
