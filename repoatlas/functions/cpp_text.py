@@ -88,6 +88,8 @@ _FUNCTION = (
     r"((?::(?!:)|try\b).*|)\z"
 )
 _STATEMENT = r"(?s)\b(?:return|else|case|new|throw|goto|do|typedef|using|namespace|delete)\b(?!\s*+\()"
+# What starts like this is no function, whatever follows.
+_CONTROL = r"\A\s*+(?:if|for|while|switch|catch|else|do|try)\b"
 _TEMPLATE = rf"(?:template\s*+{_ANGLE}|requires\s*+{_PAREN}|friend\b|extern\s*+[^\w\s]*+?)"
 _LEAD = rf"(?s)\A(?:\s|{MARK}|{_TEMPLATE})*+"
 
@@ -197,13 +199,14 @@ def neutral_text(marked_text: Column) -> Column:
 
 def shown(text: Column) -> Column:
     """Undo the hiding of literals and drop the line marks."""
-    return F.regexp_replace(F.translate(text, _HIDDEN, _PLAIN), MARK, "")
+    plain = F.translate(text, _HIDDEN, _PLAIN)
+    return F.when(plain.contains(_M0), F.regexp_replace(plain, MARK, "")).otherwise(plain)
 
 
 # Pieces that a running text is built from before it joins the others.
 _STRIDE = 128
-# More elements than an array has.
-_MANY = (1 << 31) - 1
+# More elements than the lines of a text can be, small enough to add to.
+_MANY = 1 << 30
 
 
 def _let(value: Column, body) -> Column:
@@ -374,9 +377,14 @@ def header(segment: Column, delim: Column) -> Column:
     return F.substring(segment, F.lit(1), F.length(segment) - F.length(delim))
 
 
-def first_code_line(segment: Column) -> Column:
-    """Line of the first code character after template heads and the like."""
-    return last_line(F.regexp_extract(segment, _LEAD, 0))
+def lead(segment: Column) -> Column:
+    """Marks, template heads and the like in front of the code of a header."""
+    return F.regexp_extract(segment, _LEAD, 0)
+
+
+def first_code_line(lead: Column) -> Column:
+    """Line of the first code character after the lead."""
+    return last_line(lead)
 
 
 def access_label(segment: Column) -> Column:
@@ -385,9 +393,10 @@ def access_label(segment: Column) -> Column:
     )
 
 
-def plain_header(head: Column) -> Column:
-    """Header without template heads and the like, and without line marks."""
-    return F.regexp_replace(F.regexp_replace(head, _LEAD, ""), MARK, "")
+def plain_header(head: Column, lead: Column) -> Column:
+    """Header without its lead and without line marks."""
+    rest = F.substring(head, F.length(lead) + 1, F.length(head))
+    return F.when(rest.contains(_M0), F.regexp_replace(rest, MARK, "")).otherwise(rest)
 
 
 def class_match(head: Column) -> Column:
@@ -445,7 +454,7 @@ def function_parts(plain: Column) -> Column:
         plain.contains("="), F.regexp_replace(plain, r"(?s)=\s*+(?:default|delete)\s*+\z", "")
     ).otherwise(plain)
     parsed = F.split(F.regexp_replace(cut, _FUNCTION, "$1\x04$2\x04$3\x04$4"), "\x04")
-    return F.when(plain.contains("(") & ~cut.rlike(_STATEMENT), parsed)
+    return F.when(plain.contains("(") & ~plain.rlike(_CONTROL) & ~cut.rlike(_STATEMENT), parsed)
 
 
 def ends_bodyless(plain: Column) -> Column:

@@ -104,9 +104,7 @@ def file_segments(files: DataFrame, head: Column | None = None, is_code: Column
         "head",
         C.delimiter(segment).alias("delim"),
         C.header(segment, C.delimiter(segment)).alias("header"),
-        F.when(F.right(segment, F.lit(1)).isin("{", ";"), C.first_code_line(segment)).alias(
-            "line_first"
-        ),
+        F.when(F.right(segment, F.lit(1)).isin("{", ";"), C.lead(segment)).alias("lead"),
         C.last_line(segment).alias("line_last"),
         F.when(F.right(segment, F.lit(1)) == ":", C.access_label(segment)).alias("label"),
     )
@@ -115,7 +113,8 @@ def file_segments(files: DataFrame, head: Column | None = None, is_code: Column
     opens, class_word = delim == "{", C.has_class_word(head)
     rows = rows.withColumns(
         {
-            "plain": F.when(delim.isin("{", ";"), C.plain_header(head)),
+            "line_first": C.first_code_line(F.col("lead")),
+            "plain": C.plain_header(head, F.col("lead")),
             "class_match": F.when(opens & class_word, C.class_match(head)),
         }
     )
