@@ -25,7 +25,7 @@ from repoatlas.plans import update
 from repoatlas.settings import DEFAULT_EXCLUDE, JobOptions
 from repoatlas.sources import corpora, docs, rules, state_store
 from repoatlas.sources.workspace import materialize, new_dir, stored
-from repoatlas.streaming.feed import CHANGES, run_feed
+from repoatlas.streaming.feed import read_changes, run_feed
 
 STAR = JobOptions(include=corpora.STAR_INCLUDE, exclude=DEFAULT_EXCLUDE, depth=corpora.STAR_DEPTH)
 STAR_FULL = JobOptions(
@@ -856,7 +856,7 @@ def stream_changed_files(spark, sf_dir):
             "append"
         ).parquet(source)
         run_feed(spark.readStream.schema(schema).parquet(source), out, checkpoint)
-    return spark.read.schema(CHANGES).parquet(out)
+    return read_changes(spark, out)
 
 
 NAMES = (

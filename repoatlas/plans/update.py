@@ -14,9 +14,8 @@ from repoatlas.operators import (
     structures,
 )
 from repoatlas.operators.extractors import CPP, Registry
-from repoatlas.operators.summarize import summarize, unanswered
+from repoatlas.operators.summarize import answer_open, load_answers, unanswered
 from repoatlas.plans.status import select_files
-from repoatlas.schemas import COMPLETIONS
 from repoatlas.settings import JobOptions
 from repoatlas.sources import docs as doc_tables
 from repoatlas.sources import facts_store, state_store
@@ -163,8 +162,9 @@ def update(
     """Run and save under ``base``; False if there was nothing to do.
 
     ``summarizer``, a function over Arrow batches as ``summarize`` takes it, answers the
-    prompts that have no stored completion; its answers are saved under
-    ``base/completions`` and serve later runs.
+    prompts that have no stored completion; its answers are saved bucket by bucket under
+    ``base/completions`` and serve later runs, also those after one that died. Modules whose
+    prompt failed get a deterministic document.
 
     Documents and overviews are written per run; the state is published last, so a run
     that dies leaves the previous one in force.
@@ -178,16 +178,10 @@ def update(
     completions = completions.select("repo", "prompt_hash", "text")
     if summarizer is not None:
         answers = f"{base}/completions"
-        saved = state_store.read_or_empty(spark, answers, COMPLETIONS)
-        completions = completions.unionByName(
-            saved.join(completions, ["repo", "prompt_hash"], "left_anti")
-        )
-        missing = unanswered(prompt_table, completions)
-        summarize(missing, summarizer).write.mode("append").parquet(answers)
-        saved = spark.read.schema(COMPLETIONS).parquet(answers)
-        completions = completions.unionByName(
-            saved.join(completions, ["repo", "prompt_hash"], "left_anti")
-        )
+        saved = load_answers(spark, answers)
+        missing = unanswered(unanswered(prompt_table, completions), saved)
+        saved = answer_open(missing, summarizer, answers)
+        completions = completions.unionByName(unanswered(saved, completions))
     # The merged table refers to the new documents twice.
     documents_new = written(
         new_docs(run, options, prompt_table, completions.dropDuplicates(["repo", "prompt_hash"]), run_ts),

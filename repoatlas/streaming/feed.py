@@ -1,77 +1,161 @@
-"""Change feed over arriving file versions."""
+"""Change feed over arriving file versions.
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+    <out>/stream=<id>/batch=<n>/...          the changes of a micro-batch, written as a whole
+    <checkpoint>/feed/arrived/...            the hashes of the batch at work
+    <checkpoint>/feed/state/upto=<n>/bucket=<b>/...  the last hash of each file after batch n
+    <checkpoint>/feed/log/...                finished states, one row each
+
+The last hash of a file is that of its latest change after the last state, or the state's own.
+A batch reads the buckets its files fall into, and compares versions by a window; the steps are
+native. A replayed batch sees only batches before it and overwrites its own folder, so it
+changes nothing.
+"""
+
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from repoatlas.functions import text
+from repoatlas.sources.state_store import read_or_empty
 
 CHANGES = "repo string, path string, version bigint, file_hash string, change string"
 
+# Buckets of the state, by a hash of (repo, path); also the most rows of a list of touched ones.
+BUCKETS = 256
+# Changes since the last state, as a share of its rows, from which on it is written anew.
+COMPACT_SHARE = 0.5
 
-STATE = "repo string, path string, file_hash string"
-# Keeps keys on the executors' disks instead of in their memory.
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_HASHES = "repo string, path string, version bigint, file_hash string, bucket int"
+_LOG = "upto bigint, n_files bigint"
 
 
-class _FileState(StatefulProcessor):
-    """The last hash of a file; saved state comes in before the first batch."""
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("repo", "path"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
-    def init(self, handle):
-        self.last = handle.getValueState("last", "file_hash string")
 
-    def handleInitialState(self, key, initialState, timerValues):
-        self.last.update((initialState["file_hash"].iloc[-1],))
+def stream_id(checkpoint: str) -> str:
+    """Names the folder of a stream's changes: streams with their own checkpoints share ``out``."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
-    def handleInputRows(self, key, rows, timerValues):
-        last = self.last.get()[0] if self.last.exists() else None
-        versions = pd.concat(list(rows)).sort_values("version", kind="stable")
-        out = []
-        for version, file_hash in zip(versions["version"], versions["file_hash"]):
-            if file_hash == last:
-                continue
-            out.append((*key, version, file_hash, "added" if last is None else "modified"))
-            last = file_hash
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["repo", "path", "version", "file_hash", "change"])
 
-    def close(self):
-        pass
+def hashed_versions(versions: DataFrame) -> DataFrame:
+    """(repo, path, version, file_hash, bucket): content is hashed before anything is shuffled."""
+    file_hash = text.content_hash(F.col("content")).alias("file_hash")
+    return versions.select("repo", "path", "version", file_hash, _bucket())
 
 
-def change_feed(versions: DataFrame, saved: DataFrame | None = None) -> DataFrame:
-    """Streaming (repo, path, version, content) -> the versions that changed a file.
+def changed_versions(known: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The arrived versions that differ from the one before.
 
-    Content is hashed before the shuffle, so only hashes travel. State is one hash per
-    file, keyed by (repo, path); a batch touches only its own files. ``saved``, the state
-    files of the last run, is what the first batch of a new checkpoint compares with. The
-    session's state store provider must be ``PROVIDER``.
+    ``known(repo, path, version, file_hash, seq)`` holds earlier changes, ``seq`` the order of
+    their batches. Versions of a file count in the order of batch and version; of equal versions
+    the smaller hash is first. A version without content is no change to an unknown file. Only
+    known files that arrived are shuffled: their list goes to the known ones by a broadcast where
+    adaptive execution finds it small.
     """
-    hashed = versions.select(
-        "repo", "path", "version", text.content_hash(F.col("content")).alias("file_hash")
+    keys = arrived.select("repo", "path").distinct()
+    columns = ["repo", "path", "version", "file_hash", "seq"]
+    before = known.join(keys, ["repo", "path"], "left_semi").select(*columns, F.lit(False).alias("new"))
+    after = arrived.withColumn("seq", F.lit(None).cast("bigint")).select(*columns, F.lit(True).alias("new"))
+    order = Window.partitionBy("repo", "path").orderBy(
+        F.col("seq").asc_nulls_last(), "version", "file_hash"
     )
-    known = saved if saved is not None else versions.sparkSession.createDataFrame([], STATE)
-    return hashed.groupBy("repo", "path").transformWithStateInPandas(
-        _FileState(),
-        CHANGES,
-        "Append",
-        "None",
-        known.select("repo", "path", "file_hash").groupBy("repo", "path"),
+    return (
+        before.unionByName(after)
+        .withColumn("last", F.lag("file_hash").over(order))
+        .where(F.col("new") & ~F.col("file_hash").eqNullSafe(F.col("last")))
+        .select(
+            "repo", "path", "version", "file_hash",
+            F.when(F.col("last").isNull(), "added").otherwise("modified").alias("change"),
+        )
     )
 
 
+class _Feed:
+    """The tables of one stream, and the step for a batch."""
+
+    def __init__(self, spark, out, checkpoint, saved, share):
+        self.spark, self.saved, self.share = spark, saved, share
+        self.changes_path = f"{out}/stream={stream_id(checkpoint)}"
+        self.folder = f"{checkpoint.rstrip('/')}/feed"
+
+    def log(self) -> DataFrame:
+        return read_or_empty(self.spark, f"{self.folder}/log", _LOG)
+
+    def changes(self) -> DataFrame:
+        return read_or_empty(self.spark, self.changes_path, f"{CHANGES}, batch bigint")
+
+    def known(self, before: int) -> DataFrame:
+        """The rows that hold each file's last change before a batch, with their bucket."""
+        last = self.log().where(F.col("upto") < before).agg(F.max("upto")).first()[0]
+        since = self.changes().where(F.col("batch") < before)
+        if last is not None:
+            since = since.where(F.col("batch") > last)
+        rows = since.select(
+            "repo", "path", "version", "file_hash", _bucket(), F.col("batch").alias("seq")
+        )
+        if last is None:
+            return rows
+        state = self.spark.read.schema(_HASHES).parquet(f"{self.folder}/state/upto={last}")
+        return rows.unionByName(state.withColumn("seq", F.lit(-1).cast("bigint")))
+
+    def write_state(self, rows: DataFrame, upto: int) -> None:
+        path = f"{self.folder}/state/upto={upto}"
+        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        counted = self.spark.read.schema(_HASHES).parquet(path)
+        counted.agg(
+            F.lit(upto).cast("bigint").alias("upto"), F.count(F.lit(1)).alias("n_files")
+        ).write.mode("append").parquet(f"{self.folder}/log")
+
+    def first_state(self) -> None:
+        """What was saved before the stream began; later starts find it written."""
+        if self.saved is not None and self.log().isEmpty():
+            saved = self.saved.select(
+                "repo", "path", F.lit(None).cast("bigint").alias("version"), "file_hash", _bucket()
+            )
+            self.write_state(saved, -1)
+
+    def step(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            self.first_state()
+        batch.write.mode("overwrite").parquet(f"{self.folder}/arrived")
+        arrived = self.spark.read.schema(_HASHES).parquet(f"{self.folder}/arrived")
+        touched = [r.bucket for r in arrived.select("bucket").distinct().collect()]
+        known = self.known(batch_id).where(F.col("bucket").isin(touched))
+        changed_versions(known, arrived).write.mode("overwrite").parquet(
+            f"{self.changes_path}/batch={batch_id}"
+        )
+        self.compact(batch_id)
+
+    def compact(self, batch_id: int) -> None:
+        """A new state once the changes since the last one exceed a share of it."""
+        last = self.log().where(F.col("upto") <= batch_id).agg(F.max_by(F.struct("upto", "n_files"), "upto")).first()[0]
+        upto, n_files = (-1, 0) if last is None else last
+        changes = self.changes().where(F.col("batch").between(upto + 1, batch_id)).count()
+        if changes > self.share * n_files:
+            newest = F.max_by(F.struct("version", "file_hash"), F.struct("seq", "version", "file_hash"))
+            rows = self.known(batch_id + 1).groupBy("bucket", "repo", "path").agg(newest.alias("r"))
+            self.write_state(rows.select("repo", "path", "r.version", "r.file_hash", "bucket"), batch_id)
+
+
 def run_feed(
-    versions: DataFrame, out: str, checkpoint: str, saved: DataFrame | None = None
+    versions: DataFrame,
+    out: str,
+    checkpoint: str,
+    saved: DataFrame | None = None,
+    share: float = COMPACT_SHARE,
 ) -> None:
-    """Process everything that has arrived and append the changes to a table."""
-    versions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    """Process everything that has arrived and append the changes to a table.
+
+    ``versions`` streams (repo, path, version, content). ``saved``, the state files of the last
+    run, is what the first batch of a new checkpoint compares with. Both folders are to be ones
+    that all executors share.
+    """
+    feed = _Feed(versions.sparkSession, out.rstrip("/"), checkpoint, saved, share)
     query = (
-        change_feed(versions, saved)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
+        hashed_versions(versions)
+        .writeStream.foreachBatch(feed.step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -79,10 +163,17 @@ def run_feed(
     query.awaitTermination()
 
 
+def read_changes(spark: SparkSession, out: str) -> DataFrame:
+    """The changes of all streams that write to a table."""
+    changes = spark.read.schema(CHANGES).option("basePath", out).parquet(out)
+    return changes.select("repo", "path", "version", "file_hash", "change")
+
+
 def feed_state(spark: SparkSession, saved: DataFrame, out: str) -> DataFrame:
     """(repo, path, file_hash) after the feed: the last change of each file over the saved state."""
-    changes = spark.read.schema(CHANGES).parquet(out)
-    latest = changes.groupBy("repo", "path").agg(F.max_by("file_hash", "version").alias("new_hash"))
+    latest = read_changes(spark, out).groupBy("repo", "path").agg(
+        F.max_by("file_hash", "version").alias("new_hash")
+    )
     return saved.select("repo", "path", "file_hash").join(
         latest, ["repo", "path"], "full_outer"
     ).select("repo", "path", F.coalesce("new_hash", "file_hash").alias("file_hash"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repoatlas.operators import changes, documents, graph
 from repoatlas.operators.extractors import CPP, Extractor, Registry
-from repoatlas.operators.summarize import summarize, unanswered
+from repoatlas.operators.summarize import answer_open, load_attempts, summarize, unanswered
 from repoatlas.plans.status import status
 from repoatlas.plans.update import module_edges, prepare, prompts, update, with_facts
 from repoatlas.settings import JobOptions
@@ -15,7 +15,7 @@ from repoatlas.sources import docs as doc_tables
 from repoatlas.sources import rules, state_store
 from repoatlas.sources.tree import read_binary_tree, read_tree
 from repoatlas.sources.workspace import new_dir
-from repoatlas.streaming.feed import CHANGES, feed_state, run_feed
+from repoatlas.streaming.feed import CHANGES, _Feed, changed_versions, feed_state, hashed_versions, run_feed
 
 FILES = {
     "src/a/x.cpp": '#include "../b/y.h"\n#include "src/c/z.h"\n#include "x.h"\nint f() { return 1; }\n',
@@ -354,3 +354,115 @@ def test_state_log(spark):
     state_store.save(spark, base, "three", *_state(spark, many), _ts("2024-01-03"))
     assert not state_store.run_log(spark, base).where("run_id = 'three-compacted'").isEmpty()
     assert sum(f[2] == "third" for f in _loaded(spark, base)[0]) == 60
+
+
+def _prompt_table(spark, n):
+    rows = [("r", f"h{i}", f"prompt {i}") for i in range(n)]
+    return spark.createDataFrame(rows, "repo string, prompt_hash string, prompt string")
+
+
+def test_answers_of_finished_buckets_outlive_a_dead_job(spark, tmp_path):
+    """A hook that ends its process loses its bucket only; the next start sends what is open."""
+    prompts_, path = _prompt_table(spark, 40), new_dir(spark, "answers")
+    calls, trap = tmp_path / "calls", tmp_path / "trap"
+    calls.mkdir()
+    trap.touch()
+
+    def answer(batches):
+        for b in batches:
+            for h in b["prompt_hash"]:
+                if h == "h7" and trap.exists():
+                    os._exit(1)
+                (calls / f"{h}-{os.urandom(8).hex()}").touch()
+            yield pd.DataFrame({"repo": b["repo"], "prompt_hash": b["prompt_hash"], "text": b["prompt"] + "!"})
+
+    with pytest.raises(Exception):
+        answer_open(prompts_, answer, path, bucket_rows=5)
+    kept = {r.prompt_hash for r in load_attempts(spark, path).collect()}
+    assert "h7" not in kept
+    trap.unlink()
+    before = len(list(calls.iterdir()))
+    answers = answer_open(prompts_, answer, path, bucket_rows=5)
+    assert {r.prompt_hash: r.text for r in answers.collect()} == {f"h{i}": f"prompt {i}!" for i in range(40)}
+    assert load_attempts(spark, path).count() == 40
+    # Only what was open is sent after the restart, and a third start sends nothing.
+    assert len(list(calls.iterdir())) - before == 40 - len(kept)
+    before = len(list(calls.iterdir()))
+    answer_open(prompts_, answer, path)
+    assert len(list(calls.iterdir())) == before
+
+
+def test_failed_prompts_stay_as_rows_and_are_retried_by_bound(spark, tmp_path):
+    prompts_, path = _prompt_table(spark, 12), new_dir(spark, "answers")
+    healed = tmp_path / "healed"
+
+    def answer(batches):
+        for b in batches:
+            if (b["prompt_hash"] == "h3").any() and not healed.exists():
+                raise ValueError("no such model")
+            b = b[b["prompt_hash"] != "h5"]
+            yield pd.DataFrame({"repo": b["repo"], "prompt_hash": b["prompt_hash"], "text": b["prompt"]})
+
+    answers = answer_open(prompts_, answer, path, most_attempts=2)
+    assert {r.prompt_hash for r in answers.collect()} == {f"h{i}" for i in range(12)} - {"h3", "h5"}
+    failed = load_attempts(spark, path).where("text is null").collect()
+    assert sorted((r.prompt_hash, r.error) for r in failed) == [
+        ("h3", "ValueError: no such model"), ("h3", "ValueError: no such model"),
+        ("h5", "no answer"), ("h5", "no answer"),
+    ]
+    healed.touch()
+    assert answer_open(prompts_, answer, path, most_attempts=2).count() == 10
+    assert answer_open(prompts_, answer, path, most_attempts=3).where("prompt_hash = 'h3'").count() == 1
+
+
+def _versions(spark, rows):
+    return spark.createDataFrame(
+        [("r", p, v, None if c is None else bytearray(c.encode())) for p, v, c in rows],
+        "repo string, path string, version bigint, content binary",
+    )
+
+
+def test_feed_batches_equal_one_pass_over_all_versions(spark):
+    """Many batches with compactions, one replayed, against a plain loop."""
+    out, checkpoint = new_dir(spark, "out"), new_dir(spark, "ck")
+    feed = _Feed(spark, out, checkpoint, None, 0.3)
+    last, want, batches = {}, [], []
+    for n in range(6):
+        rows = [(f"p{(n * 5 + i * i) % 11}", n * 10 + i, f"c{(n + i) % 3}") for i in range(9)]
+        rows += [("null", n, None), ("late", -n, f"l{n // 2}")]
+        batches.append(rows)
+        for p, v, c in sorted(rows, key=lambda r: r[1]):
+            if c != last.get(p):
+                want.append((n, p, v, "modified" if p in last else "added"))
+                last[p] = c
+    for n, rows in enumerate(batches):
+        feed.step(hashed_versions(_versions(spark, rows)), n)
+        if n in (0, 3):
+            feed.step(hashed_versions(_versions(spark, rows)), n)
+    got = feed.changes().select("batch", "path", "version", "change").collect()
+    null_hash = hashed_versions(_versions(spark, [("null", 0, None)])).first().file_hash
+    want += [(0, "null", 0, "added")] if null_hash is not None else []
+    assert sorted(map(tuple, got)) == sorted(w for w in want if w[1] != "null" or null_hash is not None)
+    assert feed.log().count() > 1
+
+
+def test_feed_step_has_no_python_workers(spark):
+    arrived = hashed_versions(_versions(spark, [("a", 1, "x")]))
+    known = arrived.withColumn("seq", F.lit(0).cast("bigint"))
+    plan = changed_versions(known, arrived)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    assert changed_versions(known, arrived).isEmpty()
+
+
+def test_feed_ignores_a_saved_state_once_begun(spark):
+    source, out, checkpoint = (new_dir(spark, n) for n in ("in", "out", "ck"))
+    rows = _versions(spark, [("a", 1, "x"), ("b", 1, "y")])
+    rows.write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
+    saved = changes.hash_files(_table(spark, {"a": "x"}))
+    run_feed(stream, out, checkpoint, saved)
+    _versions(spark, [("a", 2, "x"), ("b", 2, "z")]).write.mode("append").parquet(source)
+    run_feed(stream, out, checkpoint, changes.hash_files(_table(spark, {"b": "z"})))
+    run_feed(stream, out, checkpoint)
+    got = spark.read.schema(CHANGES).parquet(out).collect()
+    assert sorted((r.path, r.version, r.change) for r in got) == [("b", 1, "added"), ("b", 2, "modified")]
