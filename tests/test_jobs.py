@@ -3,6 +3,7 @@ import os
 
 import pandas as pd
 import pytest
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import functions as F
 
 from repoatlas.operators import changes, documents, graph
@@ -13,7 +14,7 @@ from repoatlas.plans.update import module_edges, prepare, prompts, update, with_
 from repoatlas.settings import JobOptions
 from repoatlas.sources import docs as doc_tables
 from repoatlas.sources import rules, state_store
-from repoatlas.sources.tree import read_binary_tree, read_tree
+from repoatlas.sources.tree import list_tree, read_binary_tree, read_tree
 from repoatlas.sources.workspace import new_dir
 from repoatlas.streaming.feed import CHANGES, _Feed, changed_versions, feed_state, hashed_versions, run_feed
 
@@ -145,14 +146,38 @@ def test_raw_tree(spark, tmp_path):
         full = tmp_path / name
         full.parent.mkdir(parents=True, exist_ok=True)
         full.write_bytes(data)
-    for tasks in (1, 64):
-        rows = read_tree(spark, str(tmp_path), "r", tasks).collect()
-        assert {r.path: bytes(r.content) for r in rows} == contents
+    (tmp_path / "deep" / "loop").symlink_to(tmp_path)
+    (tmp_path / "none").mkdir()
+    for split in (2_000, 1 << 20):
+        rows = read_tree(spark, str(tmp_path), "r", split).collect()
+        assert {r.path: bytes(r.content) for r in rows} == contents and len(rows) == len(contents)
         assert all(r.size == len(r.content) and r.repo == "r" for r in rows)
+    by_uri = read_tree(spark, tmp_path.as_uri() + "/", "r").collect()
+    assert sorted(by_uri) == sorted(rows)
+    listed = list_tree(spark, str(tmp_path), "r").collect()
+    assert sorted(listed) == sorted((r.repo, r.path, r.size, r.mtime) for r in rows)
+    # The way object stores go, on a file system that follows links: without the loop.
+    (tmp_path / "deep" / "loop").unlink()
+    by_store = read_tree(spark, str(tmp_path), "r", store=LocalFileSystem()).collect()
+    assert sorted(by_store) == sorted(rows)
+    (tmp_path / os.fsdecode(b"bad\xff.h")).write_bytes(b"b")
+    named = (read_tree(spark, str(tmp_path), "r"), list_tree(spark, str(tmp_path), "r"))
+    assert all(d.where("path = 'bad\ufffd.h'").count() == 1 for d in named)
+    empty = tmp_path / "none"
+    assert read_tree(spark, str(empty), "r").count() == list_tree(spark, str(empty), "r").count() == 0
     plain = {r.path for r in read_binary_tree(spark, str(tmp_path), "r").collect()}
     assert plain == {"with space.h", "deep/er/bad.cpp"}
 
 
+def test_a_flat_folder_is_listed_by_one_task(spark, tmp_path):
+    """Each folder gives its entries once, also where files are dealt to many tasks."""
+    for n in range(300):
+        (tmp_path / f"f{n}.h").write_bytes(b"x" * n)
+    files = read_tree(spark, str(tmp_path), "r", 100_000)
+    assert files.rdd.getNumPartitions() > 8
+    assert files.agg(F.count("path"), F.count_distinct("path"), F.sum("size")).first() == (300, 300, 44850)
+
+
 def test_markdown_folder(spark, tmp_path):
     (tmp_path / "a_b.md").write_text("# A\n\n**Purpose**: p\n")
     (tmp_path / "skip.txt").write_text("x")
