@@ -41,6 +41,9 @@ _TOKEN = (
     r"(?=[\"'/R# \t])(?:(" + _RAW.replace("GROUP", "2") + "|" + _STRING + "|" + _CHAR + r")|(/\*)"
     + _IN_BLOCK + "|" + _LINE_COMMENT + "|" + _DIRECTIVE + ")"
 )
+# The same with the first word of a branch directive as group 7.
+_BRANCH = r"#[ \t]*+(?:if|ifn?def|elif|elifn?def|else|endif)\b"
+_TOKEN_OR_BRANCH = _TOKEN.replace(_DIRECTIVE, rf"(?<=\x02)(?:(?=[ \t]*+({_BRANCH})))?+" + _DIRECTIVE[len(r"(?<=\x02)"):])
 _LITERAL = _no_groups(_RAW.replace("GROUP", "1") + "|" + _STRING + "|" + _CHAR)
 _PIECE = _LITERAL + r"|(?:[^\"'R]++|R(?!\"))++|(?s:.)"
 # A quote within a number, outside of what follows a letter.
@@ -167,7 +170,11 @@ def _quoted_digits(text: Column) -> Column:
 
 def neutral_text(marked_text: Column) -> Column:
     """Marked text without comments and directives, with literals hidden."""
-    bare = F.regexp_replace(_quoted_digits(marked_text), _TOKEN, "$1$3$4$5$6")
+    text = _quoted_digits(marked_text)
+    has_halves = text.contains("#") & text.rlike(r"\x02[ \t]*+#[ \t]*+el")
+    bare = F.when(
+        has_halves, F.regexp_replace(text, _TOKEN_OR_BRANCH, "$1$3$4$5$6$7")
+    ).otherwise(F.regexp_replace(text, _TOKEN, "$1$3$4$5$6"))
 
     def hidden(piece):
         return F.when(
@@ -182,6 +189,7 @@ def neutral_text(marked_text: Column) -> Column:
 
     # Of a comment its start is left, which no other code holds.
     spaced = F.replace(_let(bare, without_literals), F.lit("/*"), F.lit(" "))
+    spaced = _let(spaced, lambda t: F.when(t.contains("#"), one_half(t)).otherwise(t))
     # A braced member initialiser is not a scope.
     gap = rf"(?:\s|{MARK})*+"
     return _let(
@@ -197,6 +205,92 @@ def neutral_text(marked_text: Column) -> Column:
     )
 
 
+def one_half(text: Column) -> Column:
+    """Neutral text with branch directives -> without them, and with one half of each ``#if``
+    whose halves do not all close the braces they open: the first.
+
+    Where every half pairs up on its own, all stay. Directives nest; those without a partner
+    only disappear. Line marks of other lines are not touched.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)[^#]++|#[^#]*+"), F.lit(0))
+
+    def parts(piece):
+        return F.struct(
+            F.regexp_extract(piece, rf"\A({_BRANCH})", 1).alias("word"),
+            (_count(piece, "{") - _count(piece, "}")).alias("net"),
+        )
+
+    # An open #if: braces its first half leaves open, those of the half at hand, whether a half
+    # before left some, and the piece that the second half starts with.
+    def frame(first, now, uneven, second):
+        return F.struct(
+            first.cast("int").alias("first"),
+            now.alias("now"),
+            uneven.alias("uneven"),
+            second.alias("second"),
+        )
+
+    def fresh(net):
+        return frame(F.lit(None), net, F.lit(False), F.lit(-1))
+
+    # Below all lies the file itself. Dropped halves are "from-to " in one text: the state is
+    # copied at each step, which costs a text far less than an array.
+    start = F.struct(F.array(fresh(F.lit(0))).alias("open"), F.lit("").alias("dropped"))
+
+    def step(state, i, word, net):
+        stack, dropped = state["open"], state["dropped"]
+        size, top = F.size(stack), F.element_at(stack, -1)
+        below = F.slice(stack, F.lit(1), size - 1)
+        first = F.coalesce(top["first"], top["now"])
+        uneven = top["uneven"] | (top["now"] != 0)
+
+        def more(at, net):
+            return frame(at["first"], at["now"] + net, at["uneven"], at["second"])
+
+        def closed():
+            rest = F.slice(stack, F.lit(1), size - 2)
+            return F.concat(rest, F.array(more(F.element_at(stack, -2), first + net)))
+
+        second = F.when(top["second"] < 0, i).otherwise(top["second"])
+        inside = size > 1
+        is_end = inside & word.endswith("endif")
+        is_else = inside & word.rlike(r"\A#[ \t]*+el")
+        is_if = word.rlike(r"\A#[ \t]*+if")
+        drops = is_end & (top["second"] >= 0) & uneven
+        half = F.concat_ws("-", top["second"], i - 1, F.lit(" "))
+        return F.struct(
+            F.when(is_if, F.concat(stack, F.array(fresh(net))))
+            .when(is_else, F.concat(below, F.array(frame(first, net, uneven, second))))
+            .when(is_end, closed())
+            .otherwise(F.concat(below, F.array(more(top, net))))
+            .alias("open"),
+            F.when(drops, F.concat(dropped, half)).otherwise(dropped).alias("dropped"),
+        )
+
+    def dropped_of(pieces):
+        placed = F.transform(
+            pieces, lambda p, i: F.struct(i.alias("i"), parts(p).alias("p"))
+        )
+        return F.aggregate(
+            placed,
+            start,
+            lambda state, x: step(state, x["i"], x["p"]["word"], x["p"]["net"]),
+            lambda state: F.regexp_extract_all(state["dropped"], F.lit(r"\d++-\d++"), F.lit(0)),
+        )
+
+    def kept(pieces, dropped):
+        def places_of(half):
+            ends = (F.substring_index(half, "-", 1), F.substring_index(half, "-", -1))
+            return F.sequence(*(end.cast("int") for end in ends))
+
+        gone = F.flatten(F.transform(dropped, places_of))
+        places = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
+        left = F.transform(places, lambda i: F.get(pieces, i))
+        return F.regexp_replace(F.array_join(left, ""), _BRANCH, "")
+
+    return _let(pieces, lambda ps: _let(dropped_of(ps), lambda dropped: kept(ps, dropped)))
+
+
 def shown(text: Column) -> Column:
     """Undo the hiding of literals and drop the line marks."""
     plain = F.translate(text, _HIDDEN, _PLAIN)

@@ -237,3 +237,88 @@ def test_many_brackets_in_one_segment_take_linear_time(spark):
         took, rows = seconds(source)
         assert rows == found
         assert took < few + 2
+
+
+HALVES = """#ifndef GUARD
+#define GUARD
+#if defined(A) && \\
+    defined(B)
+void p() {
+#else // not B
+void q() {
+#endif
+  int x;
+}
+int after() { return 1; }
+class K {
+#ifdef WIDE
+  int wide() { return 1; }
+#elif NARROW
+  int narrow() { return 2; }
+#else
+  int other() { return 3; }
+#endif
+  const char* s() { return "#else {"; } // #else {
+ public:
+  void m() {
+#if X
+    if (a) {
+#  if Y
+      while (b) {
+#  else
+      {
+#  endif
+      }
+#elif Z
+    if (c) {
+#else
+    {
+#endif
+    }
+  }
+#ifdef T
+  int t() { if (x) { return 1;
+#ifdef U
+    } else if (y) {
+#else
+    } else {
+#endif
+    return 2; } }
+#endif
+};
+#if ONE
+struct S : A {
+#else
+struct S : B {
+#endif
+  int in() { return 0; }
+};
+#endif
+#else
+#endif
+int last() { return 9; }
+"""
+
+
+def test_halves_that_open_braces_count_once(spark):
+    """The first half pairs braces where halves leave some open; whole halves all stay."""
+    scoped = symbols.scopes(_files(spark, HALVES))
+    classes = symbols.classes_of(scoped).orderBy("line_start").collect()
+    assert [(c.name, c.line_start, c.line_end) for c in classes] == [("K", 12, 47), ("S", 49, 54)]
+    methods = symbols.methods_of(scoped).orderBy("line_start").collect()
+    assert [(m.name, m.line_start, m.line_end, m.visibility) for m in methods] == [
+        ("wide", 14, 14, "private"), ("narrow", 16, 16, "private"), ("other", 18, 18, "private"),
+        ("s", 20, 20, "private"), ("m", 22, 37, "public"), ("t", 39, 45, "public"), ("in", 53, 53, "public"),
+    ]
+    functions = symbols.functions_of(scoped).orderBy("line_start").collect()
+    assert [(f.name, f.line_start, f.line_end) for f in functions] == [
+        ("p", 5, 10), ("after", 11, 11), ("last", 58, 58),
+    ]
+
+
+def test_many_halves_take_time_in_proportion(spark):
+    part = "#if A\nint f%d() {\n#else\nint g%d() {\n#endif\n}\n"
+    source = "".join(part % (n, n) for n in range(2_000))
+    functions = symbols.functions_of(symbols.scopes(_files(spark, source)))
+    assert functions.count() == 2_000
+    assert functions.where("name not like 'f%' or line_end - line_start <> 4").isEmpty()
