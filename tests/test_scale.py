@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from repoatlas.operators import includes
+from repoatlas.operators import includes, symbols
 from repoatlas.operators.extractors import CPP, Registry
 from repoatlas.sources import corpora, workspace
 
@@ -54,3 +54,12 @@ def test_includes_are_read_off_a_content_once(spark):
         ("r", "c.h", 0, "", 1, "é!.h"),
     ]
     assert listed.count() == 4
+
+
+def test_headers_of_functions_are_read_once(spark):
+    files = _files(spark)
+    plan = _plan(symbols.file_segments(files))
+    # The pattern of words in front of a result type.
+    assert plan.count("thread_local") == 1
+    rows = symbols.functions_of(symbols.scopes(files)).collect()
+    assert [(r.path, r.name, r.signature, r.line_start) for r in rows] == [("a.cpp", "f", "int f()", 4)]
