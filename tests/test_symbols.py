@@ -322,3 +322,22 @@ def test_many_halves_take_time_in_proportion(spark):
     functions = symbols.functions_of(symbols.scopes(_files(spark, source)))
     assert functions.count() == 2_000
     assert functions.where("name not like 'f%' or line_end - line_start <> 4").isEmpty()
+
+
+def test_ends_of_plain_blocks_leave_before_scopes_are_looked_up(spark):
+    source = "class A { int f() { if (x) { } } };\nnamespace { int g() { } }\nint h() { for (;;) { } }\n"
+    files = _files(spark, source)
+    ends = symbols._with_scopes(symbols.file_segments(files)).where("delim = '}'").collect()
+    assert sorted(r.closes for r in ends) == ["class", "unnamed_namespace"]
+    found = symbols.functions_of(symbols.scopes(files)).orderBy("position").collect()
+    assert [(r.name, r.line_end, r.visibility) for r in found] == [("g", 2, "private"), ("h", 3, "public")]
+
+
+def test_labels_and_braces_on_one_line(spark):
+    text = "class A { public: int a; private : int b() { return x ? 1 : 2; } };\n\npublic int c;\n"
+    df = spark.createDataFrame([(text,)], "t string")
+    cut = df.select(F.transform(cpp_text.segments(F.col("t")), cpp_text.shown).alias("s")).first().s
+    assert cut == [
+        "class A {", " public:", " int a;", " private :", " int b() {", " return x ? 1 : 2;", " }", " }", ";",
+        "\n\npublic int c;", "\n",
+    ]
