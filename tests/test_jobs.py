@@ -10,7 +10,7 @@ from repoatlas.operators import changes, documents, graph
 from repoatlas.operators.extractors import CPP, Extractor, Registry
 from repoatlas.operators.summarize import answer_open, load_attempts, summarize, unanswered
 from repoatlas.plans.status import status
-from repoatlas.plans.update import module_edges, prepare, prompts, update, with_facts
+from repoatlas.plans.update import module_edges, new_docs, prepare, prepare_once, prompts, update, with_facts
 from repoatlas.settings import JobOptions
 from repoatlas.sources import docs as doc_tables
 from repoatlas.sources import rules, state_store
@@ -491,3 +491,32 @@ def test_feed_ignores_a_saved_state_once_begun(spark):
     run_feed(stream, out, checkpoint)
     got = spark.read.schema(CHANGES).parquet(out).collect()
     assert sorted((r.path, r.version, r.change) for r in got) == [("b", 1, "added"), ("b", 2, "modified")]
+
+
+def test_documents_take_hashes_includes_and_symbols_from_one_read(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def counted(content):
+        reads.add(1)
+        return content
+
+    # A path that comes twice with other includes, and one of no known language.
+    rows = [(p, c) for p, c in FILES.items()] + [("src/a/x.h", '#include "../c/z.h"\nint h() {}\n')]
+    table = spark.createDataFrame(
+        [("r", p, bytearray(c.encode()), len(c), None) for p, c in rows],
+        "repo string, path string, content binary, size bigint, mtime timestamp",
+    )
+    none = spark.createDataFrame([], "repo string, path string, file_hash string, module string")
+
+    def docs(make, mode):
+        options = JobOptions(include=("src/**",), exclude=("**/test/**",), mode=mode)
+        run = make(table.withColumn("content", counted("content")), none, options)
+        found = new_docs(run, options, prompts(run, options), _none(spark), _ts("2024-01-01"))
+        return sorted(map(tuple, found.collect()))
+
+    n_selected = sum("/test/" not in p for p, _ in rows)
+    once = docs(prepare_once, "full")
+    assert reads.value == n_selected
+    assert once == docs(prepare, "full")
+    assert docs(prepare_once, "incremental") == docs(prepare, "incremental") == once
