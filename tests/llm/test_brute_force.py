@@ -303,6 +303,119 @@ def test_coded_tokens_are_a_distribution():
     assert abs(sum(2.0 ** -bits) - 254 / 256 - 254 / 256) < 1e-6
 
 
+def held_out_ids(held_out, count):
+    found = (n for n in range(10_000) if (zlib.crc32(str(n).encode()) % 5 == 1) == held_out)
+    return [next(found) for _ in range(count)]
+
+
+def test_language_scores_follow_word_order_and_no_layout(spark):
+    sentence = "the old cat sat on the warm mat while it rained outside all day"
+    train = held_out_ids(False, 40)
+    ordered, turned = held_out_ids(True, 2)
+    rows = [(n, " ".join([f"note{n}", sentence, sentence])) for n in train]
+    rows += [(ordered, sentence), (turned, " ".join(reversed(sentence.split())))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in language_model.language_scores(docs.repartition(3)).collect()}
+    assert round(found[ordered].base_score - found[turned].base_score, 9) == 0
+    assert found[ordered].score > found[turned].score + 1
+    again = {r.doc_id: r.score for r in language_model.language_scores(docs.coalesce(1)).collect()}
+    assert again == {n: r.score for n, r in found.items()}
+
+
+def test_text_bits_against_one_bit_at_a_time(spark):
+    texts = ["a cat sat on a mat", "a mat", "", "caf\u00e9 on a mat a mat", "a cat sat on a mat"]
+    raw = [t.encode() for t in texts]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    counts = language_model.context_counts(train)
+    mixer = language_model.Mixer()
+    random = np.random.default_rng(3)
+    mixer.weights = random.uniform(0.1, 0.5, mixer.weights.shape)
+    mixer.total = random.uniform(1, 9, mixer.total.shape)
+    mixer.hits = mixer.total * random.uniform(0.1, 0.9, mixer.total.shape)
+
+    seen = Counter()
+    for text in raw:
+        for at, byte in enumerate(text + b"\n"):
+            bits = f"{byte:08b}"
+            before = (b"\0" * 8 + text)[at + 8 - 8 : at + 8]
+            for order, _ in language_model.ORDERS:
+                for n in range(8):
+                    seen[order, before[8 - order :], bits[:n], bits[n]] += 1
+    for left_out in (False, True):
+        table = language_model.predictions(counts, left_out)
+        for text in raw:
+            expected = 0.0
+            for at, byte in enumerate(text + b"\n"):
+                bits = f"{byte:08b}"
+                before = (b"\0" * 8 + text)[at + 8 - 8 : at + 8]
+                for half in (0, 4):
+                    known = [
+                        sum(seen[o, before[8 - o :], bits[:half], b] for b in "01") - left_out
+                        for o, _ in language_model.ORDERS
+                    ]
+                    long, _ = mixer.levels(np.array(known[language_model.LONG]))
+                    _, middle = mixer.levels(np.array(known[language_model.MIDDLE]))
+                    gate = np.array([long * 5 + middle])
+                    for n in range(half, half + 4):
+                        x = []
+                        for o, _ in language_model.ORDERS:
+                            zeros, ones = (
+                                seen[o, before[8 - o :], bits[:n], b] - (left_out and b == bits[n])
+                                for b in "01"
+                            )
+                            x.append(math.log((ones + 0.4) / (zeros + 0.4)))
+                        p = mixer.squash(np.array([np.dot(x, mixer.weights[gate[0]])]))
+                        p = mixer.refine(gate, p)[0]
+                        expected -= math.log2(p if bits[n] == "1" else 1 - p)
+            events = language_model.Events([text], places=True)
+            if left_out:
+                found = 0.0
+                for rows, value in events.halves():
+                    inputs, gate = language_model.inputs_of(rows, value, table, True)
+                    mixed = mixer.mix(inputs, gate, mixer.weights.T)
+                    p = mixer.refine(gate[:, None], mixer.squash(mixed))
+                    p = np.where(language_model.BITS[value] == 1, p, 1 - p)
+                    found -= np.log2(p).sum(axis=1)
+            else:
+                found = language_model.event_bits(events, table, mixer)
+            assert abs(events.per_text(found)[0] - expected) < 1e-3 * max(1, expected)
+
+
+def test_events_are_shared_in_a_block_and_summed_by_text():
+    texts = [b"", b"ab ab ab ab ab ab", b"x", b"ab ab ab ab ab ab", b"\0\xff" * 9]
+    events = language_model.Events(texts, places=True)
+    assert events.times.sum() == sum(len(t) + 1 for t in texts) > len(events)
+    values = np.random.default_rng(1).random(len(events))
+    of = dict(zip(events.strings.tolist(), values.tolist()))
+    for text, found in zip(texts, events.per_text(values)):
+        expected = 0.0
+        for at, byte in enumerate(text + b"\n"):
+            before = (b"\0" * 7 + text)[at : at + 7]
+            expected += of[int.from_bytes(before[::-1] + bytes([byte]), "big")]
+        assert abs(found - expected) < 1e-9
+    alone = language_model.Events(texts)
+    assert alone.strings.tolist() == events.strings.tolist()
+    assert alone.times.tolist() == events.times.tolist()
+
+
+def test_blocks_do_not_follow_batches(monkeypatch):
+    monkeypatch.setattr(language_model, "TEXT_BLOCK", 20)
+    texts = [None, "A b", "c" * 30, "", "d e f", "g " * 15, "h"]
+
+    def cut(sizes):
+        given = iter(enumerate(texts))
+        batches = []
+        for size in sizes:
+            rows = [next(given) for _ in range(size)]
+            batches.append({"doc_id": [n for n, _ in rows], "text": [t for _, t in rows]})
+        return [(t, r["doc_id"]) for t, r in language_model.text_blocks(batches)]
+
+    blocks = cut([7])
+    assert len(blocks) > 1 and blocks == cut([1, 2, 4]) == cut([3, 0, 4])
+    assert [n for _, ids in blocks for n in ids] == list(range(7))
+    assert blocks[0][0][:2] == [b"", b"a b"]
+
+
 def test_classifier_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.01"
     scores = contract.queries()["op8_quality_classifier"](spark, sf_dir)
