@@ -1,5 +1,9 @@
 """Prompts, module documents and overviews."""
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,17 +29,22 @@ Prefer architecture over retelling code, and be brief.
 """
 
 
+# What stands between the parts of a prompt.
+_TO_MODULE, _TO_PATH = "## Module: ", "\nDirectory: "
+_TO_FILES, _TO_STRUCTURE, _PROMPT_END = "\n\n## Files:\n", "\n\n## Structure:\n", "\n"
+
+
 def prompt_text(module: Column, module_path: Column, file_list: Column, structure: Column) -> Column:
     return F.concat(
-        F.lit(PROMPT_HEAD + "## Module: "),
+        F.lit(PROMPT_HEAD + _TO_MODULE),
         module,
-        F.lit("\nDirectory: "),
+        F.lit(_TO_PATH),
         module_path,
-        F.lit("\n\n## Files:\n"),
+        F.lit(_TO_FILES),
         file_list,
-        F.lit("\n\n## Structure:\n"),
+        F.lit(_TO_STRUCTURE),
         structure,
-        F.lit("\n"),
+        F.lit(_PROMPT_END),
     )
 
 
@@ -126,6 +135,103 @@ def module_prompts(
     return prompts.withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
+class _PromptDigest:
+    """SHA-256 of one prompt whose lines arrive in order, and its list of files."""
+
+    def __init__(self, repo, module, module_path):
+        self.key, self.module_path, self.n_files = (repo, module), module_path, 0
+        self.files, self.section, self.empty = bytearray(), 0, True
+        head = PROMPT_HEAD + _TO_MODULE + (module or "") + _TO_PATH + (module_path or "") + _TO_FILES
+        self.digest = hashlib.sha256(head.encode())
+
+    def add(self, section: int, lines: list) -> None:
+        if section != self.section:
+            self.digest.update(_TO_STRUCTURE.encode())
+            self.section, self.empty = section, True
+        if section == 0:
+            self.n_files += len(lines)
+        lines = [line for line in lines if line is not None]
+        if lines:
+            data = ("" if self.empty else "\n").encode() + "\n".join(lines).encode()
+            self.empty = False
+            self.digest.update(data)
+            if section == 0:
+                self.files += data
+
+    def row(self) -> tuple:
+        self.add(1, [])
+        self.digest.update(_PROMPT_END.encode())
+        whole = self.key[1] is not None and self.module_path is not None
+        digest = self.digest.hexdigest() if whole else None
+        return *self.key, self.module_path, self.n_files, self.files.decode(), digest
+
+
+def _digest_prompts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a module out of its sorted lines; keeps one digest and one list of files."""
+    columns = {
+        "repo": pa.string(), "module": pa.string(), "module_path": pa.string(),
+        "n_files": pa.int32(), "file_list": pa.string(), "prompt_hash": pa.string(),
+    }
+
+    def out(digest):
+        arrays = [pa.array([v], kind) for v, kind in zip(digest.row(), columns.values())]
+        return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+    digest = None
+    for batch in batches:
+        repos, modules, paths, sections, lines = (
+            batch.column(c).to_pylist() for c in ("repo", "module", "module_path", "section", "line")
+        )
+        at, n = 0, batch.num_rows
+        while at < n:
+            end, key = at + 1, (repos[at], modules[at])
+            while end < n and sections[end] == sections[at] and (repos[end], modules[end]) == key:
+                end += 1
+            if digest is None or digest.key != key:
+                if digest is not None:
+                    yield out(digest)
+                digest = _PromptDigest(*key, paths[at])
+            digest.add(sections[at], lines[at:end])
+            at = end
+    if digest is not None:
+        yield out(digest)
+
+
+def prompt_hashes(run_files: DataFrame, structures: DataFrame) -> DataFrame:
+    """``module_prompts`` without the texts.
+
+    The lines of a prompt are sorted and stream through its digest, so a prompt of any length is
+    in no task as a whole.
+    """
+    rows = run_files.select("repo", "path", "module", "module_path").join(
+        structures.select("repo", "path", structure_text().alias("block")), ["repo", "path"], "left"
+    )
+    name = F.concat(F.lit("- "), paths.base_name(F.col("path")))
+    # Names of all files stand before all structures.
+    lines = rows.select(
+        *_MODULE, "module_path", "path", F.posexplode(F.array(name, "block")).alias("section", "line")
+    )
+    digested = (
+        lines.repartition(*_MODULE)
+        .sortWithinPartitions(*_MODULE, "section", "path", "line")
+        .select(*_MODULE, "module_path", "section", "line")
+        .mapInArrow(
+            _digest_prompts,
+            "repo string, module string, module_path string, n_files int, file_list string, "
+            "prompt_hash string",
+        )
+    )
+    module, path = F.col("module"), F.col("module_path")
+    return digested.select(
+        *_MODULE,
+        F.lit(0).alias("part"),
+        "module_path",
+        "n_files",
+        fallback_text(module, path, F.col("file_list"), F.col("n_files")).alias("fallback"),
+        "prompt_hash",
+    )
+
+
 def related_lines(edges: DataFrame, run_modules: DataFrame) -> DataFrame:
     """(repo, module, block, item, line): the related-modules section as sortable lines.
 

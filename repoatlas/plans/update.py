@@ -135,12 +135,13 @@ def run_imports(run: Run, options: JobOptions) -> DataFrame:
     """Includes of the run's files with the module of the importing file."""
     if run.facts is None and run.segments is None:
         imports = registry_of(options).imports(run.sources)
-    else:
-        names = F.col("head.imports") if run.facts is None else F.col("imports")
-        read = run.segments if run.facts is None else run.facts
-        imports = read.select("repo", "path", F.posexplode(names).alias("ordinal", "i"))
-        imports = imports.select("repo", "path", "ordinal", "i.name", "i.is_system")
-    return modules.assign_modules(imports, options.strategy, options.depth)
+        return modules.assign_modules(imports, options.strategy, options.depth)
+    names = F.col("head.imports") if run.facts is None else F.col("imports")
+    read = run.segments if run.facts is None else run.facts
+    # Modules are named once a file.
+    read = modules.assign_modules(read.select("repo", "path", names.alias("names")), options.strategy, options.depth)
+    imports = read.select("*", F.posexplode("names").alias("ordinal", "i"))
+    return imports.select("repo", "path", "ordinal", "i.name", "i.is_system", "module", "module_path")
 
 
 def module_edges(run: Run, options: JobOptions) -> DataFrame:
@@ -148,10 +149,13 @@ def module_edges(run: Run, options: JobOptions) -> DataFrame:
     return materialize(graph.module_edges(run_imports(run, options), run.file_map))
 
 
-def prompts(run: Run, options: JobOptions) -> DataFrame:
+def prompts(run: Run, options: JobOptions, texts: bool = True) -> DataFrame:
+    """Prompts of the run's modules; without ``texts`` their hashes, which documents go by."""
     found = run.facts
     if found is None:
         found = structures.registry_structures(run.sources, registry_of(options), run.segments)
+    if not texts:
+        return documents.prompt_hashes(run.run_files, found)
     return documents.module_prompts(run.run_files, found, options.part_bytes)
 
 
@@ -199,7 +203,8 @@ def update(
     run_files = run.run_files
     if run_files.isEmpty():
         return False
-    prompt_table = written(prompts(run, options), "prompts")
+    # Only a summariser reads the texts.
+    prompt_table = written(prompts(run, options, summarizer is not None), "prompts")
     completions = completions.select("repo", "prompt_hash", "text")
     if summarizer is not None:
         answers = f"{base}/completions"
